@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, quality, simhash, toxicity, url_filter
+from . import bpe, html_text, license_scan, quality, simhash, toxicity, url_filter
 from .common import table
 from .labelled import held_out
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
+OP1_SQL = license_scan.scan_sql("SELECT concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text FROM documents")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, width=1, radius=4)
 
@@ -66,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_html": op6_html,
@@ -75,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op9_url_filter": OP9_SQL,
 }
