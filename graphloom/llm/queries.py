@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, license_scan, quality, simhash, toxicity, url_filter
+from . import ann, bpe, decontaminate, html_text, license_scan, quality, simhash, toxicity, url_filter
 from .common import table
 from .labelled import held_out
 
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = license_scan.scan_sql("SELECT concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text FROM documents")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, least=0.8)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, width=1, radius=4)
 
@@ -89,6 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_html": op6_html,
