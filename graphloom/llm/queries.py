@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_text, license_scan, quality, simhash, toxicity, url_filter
+from . import ann, bpe, decontaminate, html_text, license_scan, pii, quality, simhash, toxicity, url_filter
 from .common import table
 from .labelled import held_out
 
@@ -40,6 +40,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+#: The registered queries' key; who runs the operator for privacy passes a secret one.
+PII_KEY = b"public key of the registered queries"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key=PII_KEY, spans_col="spans").withColumn("n_entities", F.size("spans"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -96,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_pii": op5_pii,
     "op6_html": op6_html,
     "op7_ann": op7_ann,
     "op8_quality": op8_quality,
