@@ -5,6 +5,10 @@ anything is compared.  Representatives are dealt into tiles by their population
 whose counts differ by more than the radius cannot hold a link and are never formed.  Each remaining
 pair of tiles is compared exactly with exclusive-or and bit counts, and gives back a spanning forest
 of its links, never all its pairs.
+
+Links can be checked exactly, or closely for long texts: with ``similarity`` the fingerprints' links
+only bring candidates together, and those are compared again with their bottom-k sketches of shingle
+hashes, which hold all shingles of a short text.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, slices
@@ -22,6 +26,9 @@ from .xxh import xxh64_spans
 
 #: Most fingerprints in a tile; a pair of tiles is what one task holds (16 bytes each and up).
 TILE = 49152
+#: Most shingle hashes in a sketch; shorter texts' similarities are exact.
+SKETCH = 128
+NONE = np.uint32(0xFFFFFFFF)
 GOLDEN = 0x9E3779B97F4A7C15
 LANES = np.uint64(0x0101010101010101)
 
@@ -68,8 +75,8 @@ def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1) -> DataFrame:
-    """(doc_id, code, pop): code is 8 * width bytes, most significant first; pop counts its set bits.
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, sketch: bool = False) -> DataFrame:
+    """(doc_id, code, pop[, sketch]): code is 8 * width bytes, most significant first; pop counts its set bits.
 
     The first 64 bits follow XXH64 with seed 42 over shingles of lower-cased words; further ones hash
     that hash again.  A null or blank text has code zero.  A repeated row gives a repeated row; other
@@ -82,11 +89,15 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             codes = np.stack([majority(_more(h, k) if k else h, count) for k in range(width)], axis=1)
             pop = np.bitwise_count(codes).sum(1, dtype=np.int32)
             raw = codes.astype(">u8").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([raw[i : i + 8 * width] for i in range(0, len(raw), 8 * width)], pa.binary()), pa.array(pop)], ["doc_id", "code", "pop"]
-            )
+            columns = [b.column("doc_id"), pa.array([raw[i : i + 8 * width] for i in range(0, len(raw), 8 * width)], pa.binary()), pa.array(pop)]
+            if sketch:
+                ends = np.cumsum(count).tolist()
+                least = [np.unique((h[e - n : e] >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes() for e, n in zip(ends, count.tolist())]
+                columns.append(pa.array(least, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "pop", "sketch"][: len(columns)])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, code binary, pop int")
+    schema = "doc_id long, code binary, pop int" + ", sketch binary" * sketch
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 class Forest:
@@ -119,8 +130,26 @@ class Forest:
         self.label = to[label]
 
 
-def compare(codes: np.ndarray, split: int, radius: int) -> Forest:
-    """Links at radius or fewer differing bits between the first ``split`` codes and the rest, or, if there is no rest, within all."""
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the sets behind each pair of sketches, rows padded with NONE.
+
+    Exact if both sets are smaller than a sketch, else estimated from the least SKETCH of their union.
+    """
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both != NONE
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    place = np.cumsum(real & ~twice, axis=1)
+    whole = (a[:, -1] == NONE) & (b[:, -1] == NONE)
+    n = np.where(whole, place[:, -1], np.minimum(place[:, -1], SKETCH))
+    return (twice & (place <= n[:, None])).sum(1) / np.maximum(n, 1)
+
+
+def compare(codes: np.ndarray, split: int, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> Forest:
+    """Links at radius or fewer differing bits between the first ``split`` codes and the rest, or, if there is no rest, within all.
+
+    With sketches, of these only those whose sets reach the similarity; nearest first, so that few pairs of one group are left to look at.
+    """
     forest, n = Forest(len(codes)), len(codes)
     own = split == n
     left, right = np.ascontiguousarray(codes[:split].T), np.ascontiguousarray(codes[0 if own else split :].T)
@@ -133,64 +162,127 @@ def compare(codes: np.ndarray, split: int, radius: int) -> Forest:
             near = d <= radius
             if near.any():
                 a, b = np.nonzero(near)
-                forest.link(a + i, b + j + (0 if own else split))
+                far = d[a, b]
+                a, b = a + i, b + j + (0 if own else split)
+                if sketches is None:
+                    forest.link(a, b)
+                    continue
+                order = np.argsort(far, kind="stable")
+                a, b = a[order], b[order]
+                while len(a):
+                    apart = forest.label[a] != forest.label[b]
+                    a, b = a[apart], b[apart]
+                    ok = similar(sketches[a[:512]], sketches[b[:512]]) >= similarity if len(a) else np.zeros(0, bool)
+                    forest.link(a[:512][ok], b[:512][ok])
+                    a, b = a[512:], b[512:]
     return forest
 
 
+def _tile_links(tiles: DataFrame, partners: Column, radius: int, similarity: float = 0.0) -> DataFrame:
+    """Spanning edges over the pairs of tiles (me, rows) and (one of partners, rows); rows: (code, rep[, sketch])."""
+    pairs = tiles.withColumn("other", F.explode(partners)).select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), "me", "rows")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = (k.as_py() for k in key)
+        rows = table.column("rows").combine_chunks()
+        held = {me: rows[i].values for i, me in enumerate(table.column("me").to_pylist())}
+        out: tuple = ([], [])
+        if a in held and b in held:
+            parts = [held[a]] if a == b else [held[a], held[b]]
+            field = lambda name: [x for p in parts for x in p.field(name).to_pylist()]
+            rep = np.array(field("rep"), np.int64)
+            codes = np.frombuffer(b"".join(field("code")), ">u8").astype(np.uint64).reshape(len(rep), -1)
+            sketches = None
+            if similarity:
+                sketches = np.full((len(rep), SKETCH), NONE)
+                for i, x in enumerate(field("sketch")):
+                    sketches[i, : len(x) // 4] = np.frombuffer(x, np.uint32)
+            label = compare(codes, len(held[a]), radius, sketches, similarity).label
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            out = (rep[moved], rep[label[moved]])
+        return pa.table({"u": pa.array(out[0], pa.int64()), "v": pa.array(out[1], pa.int64())})
+
+    return pairs.groupBy("a", "b").applyInArrow(run, "u long, v long")
+
+
 def links(codes: DataFrame, *, radius: int, tile: int = TILE) -> DataFrame:
     """Spanning edges (u, v) of rep over all pairs of (code, pop, rep) at radius or fewer differing bits.
 
     Codes are distinct and rep is a distinct long; joining the edges gives the same components as joining all links.
     """
-    band = max(1, (radius + 1) // 2)  # of population counts: bands differ by radius + 1 or more if there are 2 or more between
+    band = max(1, (radius + 1) // 2)  # of population counts
     codes = codes.withColumn("band", F.floor(F.col("pop") / band).cast("int"))
     counted = {r["band"]: r["count"] for r in codes.groupBy("band").count().collect()}  # at most 64 * width + 1 rows
     if not counted:
         return codes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
-    far = (radius - 1) // band + 1  # the gap between bands d apart is band * (d - 1) + 1
+    far = (radius - 1) // band + 1  # the gap between bands that are d apart is band * (d - 1) + 1
     parts = F.array(*[F.lit(-(-counted.get(x, 0) // tile)) for x in range(max(counted) + far + 1)])
+    name = lambda band, part: band.cast("long") * F.lit(1 << 32) + part
     tiles = (
         codes.withColumn("part", F.pmod(F.xxhash64("code"), F.greatest(parts[F.col("band")], F.lit(1))).cast("int"))
         .groupBy("band", "part")
         .agg(F.collect_list(F.struct("code", "rep")).alias("rows"))
-        .withColumn("me", F.col("band") * F.lit(1 << 32).cast("long") + F.col("part"))
-    )
-    other = F.col("other") * F.lit(1 << 32).cast("long") + F.col("slot")
-    pairs = (
-        tiles.withColumn("other", F.explode(F.sequence(F.greatest(F.col("band") - far, F.lit(0)), F.col("band") + far)))
-        .where(parts[F.col("other")] > 0)
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), parts[F.col("other")] - 1)))
-        .select(F.least("me", other).alias("a"), F.greatest("me", other).alias("b"), "me", "rows")
+        .withColumn("me", name(F.col("band"), F.col("part")))
     )
+    bands = F.filter(F.sequence(F.greatest(F.col("band") - far, F.lit(0)), F.col("band") + far), lambda x: parts[x] > 0)
+    partners = F.flatten(F.transform(bands, lambda x: F.transform(F.sequence(F.lit(0), parts[x] - 1), lambda k: name(x, k))))
+    return _tile_links(tiles, partners, radius)
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        a, b = (k.as_py() for k in key)
-        held = {me: r for me, r in zip(rows.column("me").to_pylist(), rows.column("rows").to_pylist())}
-        out: tuple = ([], [])
-        if a in held and b in held:
-            every = held[a] if a == b else held[a] + held[b]
-            raw = b"".join(r["code"] for r in every)
-            codes = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(every), -1)
-            label = compare(codes, len(held[a]), radius).label
-            rep = np.array([r["rep"] for r in every], np.int64)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            out = (rep[moved], rep[label[moved]])
-        return pa.table({"u": pa.array(out[0], pa.int64()), "v": pa.array(out[1], pa.int64())})
 
-    return pairs.groupBy("a", "b").applyInArrow(run, "u long, v long")
+def checked_links(members: DataFrame, *, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
+    """As links(), of (class, code, rep, sketch), within a class only, and only pairs whose sketches reach the similarity.
+
+    Small classes share tiles; a large class has tiles of its own, so that no task holds more than a pair of tiles.
+    """
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    n = members.count()
+    shared = max(1, -(-n // tile))
+    placed = members.join(sizes, "class").withColumn("parts", F.when(F.col("size") > tile, F.ceil(F.col("size") / tile)).otherwise(F.lit(1)).cast("int"))
+    group = F.when(F.col("parts") > 1, F.concat(F.lit("c"), F.col("class").cast("string"))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("class"), F.lit(shared)).cast("string")))
+    name = lambda part: F.concat("group", F.lit("/"), F.lpad(part.cast("string"), 9, "0"))
+    tiles = (
+        placed.withColumn("group", group)
+        .withColumn("me", name(F.pmod(F.xxhash64("code"), F.col("parts"))))
+        .groupBy("group", "parts", "me")
+        .agg(F.collect_list(F.struct("code", "rep", "sketch")).alias("rows"))
+    )
+    partners = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), name)
+    return _tile_links(tiles, partners, radius, similarity)
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, radius: int = 4, tile: int = TILE) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, radius: int = 4, similarity: float | None = None, tile: int = TILE
+) -> DataFrame:
     """One row per row of df: (doc_id, fingerprint, component_id).
 
-    fingerprint: code in lower-case hexadecimal.  component_id: the least doc_id that links reach, a
-    document alone has its own.  Texts without words share code zero and so one component.  A null
-    doc_id takes no part in links and has a null component_id.
+    fingerprint: code in lower-case hexadecimal.  Documents link at ``radius`` or fewer differing bits
+    and, if ``similarity`` is given, at that Jaccard similarity of their shingles or more; equal
+    fingerprints always do.  component_id: the least doc_id that links reach, a document alone has its
+    own.  Texts without words share code zero and so one component.  A null doc_id takes no part in
+    links and has a null component_id.
     """
-    found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width))
+    found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width, sketch=similarity is not None))
     codes = cut(found.where("doc_id IS NOT NULL").groupBy("code", "pop").agg(F.min("doc_id").alias("rep")))
     joined = components(links(codes, radius=radius, tile=tile))
+    if similarity is not None:
+        sketches = found.where("doc_id IS NOT NULL").groupBy("doc_id", "code").agg(F.min("sketch").alias("sketch"))
+        near = codes.join(joined, codes.rep == joined.node).select("component", "code", "rep")
+        members = cut(near.join(sketches.select(F.col("doc_id").alias("rep"), "code", "sketch"), ["rep", "code"]).withColumnRenamed("component", "class"))
+        joined = components(checked_links(members, radius=radius, similarity=similarity))
     class_of = codes.join(joined, codes.rep == joined.node, "left").select(F.col("code").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return found.join(class_of, F.col("code") == F.col("of"), "left").select(
         "doc_id", F.lower(F.hex("code")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, width: int = 3, radius: int = 44, similarity: float | None = 0.8, tile: int = TILE) -> DataFrame:
+    """The rows of df, all columns as they are, but of each component only that of the least id.
+
+    Rows without id stay.  Of rows that repeat an id one stays.
+    """
+    classes = near_duplicates(df, id_col=id_col, text_col=text_col, words=words, width=width, radius=radius, similarity=similarity, tile=tile)
+    classes = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")))
+    kept = df.join(classes.where("doc_id <> c").select(F.col("doc_id").alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+    if classes.where("n > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
