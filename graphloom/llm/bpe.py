@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -21,12 +22,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, through_arrow
 
 #: The words that byte-level BPE with use_regex splits a text into.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of chunks that a worker remembers before it starts afresh.
-REMEMBERED = 48 << 20
+#: Bytes of chunks and their ids that a worker remembers before it starts afresh.
+REMEMBERED = 16 << 20
 #: A chunk has 2 ** CUT_BITS bytes on average, and LEAST at least.
 CUT_BITS, LEAST = 9, 64
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
@@ -57,24 +58,24 @@ class Tokenizer:
         for k, v in self.special.items():
             self.bytes[v] = k.encode()
         self.encoding = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.seen: dict[bytes, list[int]] = {}
+        self.seen: dict[bytes, array] = {}
         self.held = 0
 
     def plain(self, text: bytes) -> list[int]:
         return self.encoding.encode_ordinary(text.decode())
 
-    def chunk(self, text: bytes) -> list[int]:
+    def chunk(self, text: bytes) -> array:
         ids = self.seen.get(text)
         if ids is None:
-            ids = self.plain(text)
+            ids = array("I", self.plain(text))
             if self.held > REMEMBERED:
                 self.seen.clear()
                 self.held = 0
             self.seen[text] = ids
-            self.held += 10 * len(text)
+            self.held += 250 + len(text) + 4 * len(ids)
         return ids
 
-    def trimmed(self, ids: list[int], head: int, tail: int) -> list[int] | None:
+    def trimmed(self, ids: array, head: int, tail: int) -> array | None:
         """ids without the tokens of the first head and last tail bytes; None if these are not whole tokens."""
         a, b = 0, len(ids)
         while head > 0 and a < b:
@@ -106,7 +107,7 @@ class Tokenizer:
                     spans.append([s, e])
                 ends.append(c)
                 last = c
-            out.append(self._joined(text, ends, spans) if ends else self.chunk(text) if size else [])
+            out.append(self._joined(text, ends, spans) if ends else self.chunk(text).tolist() if size else [])
         return out
 
     def _joined(self, text: bytes, ends: list[int], spans: list[list[int]]) -> list[int]:
@@ -173,6 +174,10 @@ def vocabulary(df: DataFrame, path: str) -> Broadcast:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _packed(ids: list[list[int]]) -> list[bytes]:
+    return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+
+
 def encode(df: DataFrame, tokenizer: Broadcast, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers.
 
@@ -183,10 +188,10 @@ def encode(df: DataFrame, tokenizer: Broadcast, *, id_col: str = "doc_id", text_
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer.value)
         for b in slices(batches, limit=2 << 20):
-            ids = tok.encode(as_bytes(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array([struct.pack(f"<{len(x)}I", *x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            raw = _packed(tok.encode(as_bytes(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, tokenizer: Broadcast) -> DataFrame:
@@ -198,10 +203,19 @@ def decode(df: DataFrame, tokenizer: Broadcast) -> DataFrame:
             texts = [tok.decode(np.frombuffer(x, "<u4")) for x in as_bytes(b.column("ids"))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
-    return df.mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+    return df.transform(through_arrow, run, "doc_id long, n_tokens long, ids binary, text string")
 
 
 def round_trip(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, text): each text encoded, and decoded again from its ids."""
     tokenizer = vocabulary(df, path)
-    return decode(encode(df, tokenizer, id_col=id_col, text_col=text_col), tokenizer)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _tokenizer(tokenizer.value)
+        for b in slices(batches, limit=2 << 20):
+            raw = _packed(tok.encode(as_bytes(b.column("text"))))
+            texts = [tok.decode(np.frombuffer(x, "<u4")) for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
+
+    # One pass, so that a task has one worker's vocabulary in memory.
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, "doc_id long, n_tokens long, ids binary, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -10,12 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker holds at a time, besides the Arrow batch itself.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def through_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches that few long texts cannot make large."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine, as workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with this C library
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the cluster's shared folder."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, cut, slices
+from .common import as_text, cut, slices, through_arrow
 
 # Words that are numbers, units or given names.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split())
@@ -30,7 +30,7 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?$")
 NUMBER_UNIT = re.compile(rf"[+-]?\d[\d.,]*(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})$")
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’¡¿…*_-"
 LITERAL, NUM, NAME, UNIT = range(4)
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Most bits of the filter that documents' windows pass before the join, 16 MB.
@@ -105,7 +105,7 @@ def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_col: s
                 [pa.array(h.view(np.int64)), pa.array([ids[t] for t in text.tolist()], pa.int64()), pa.array(first.astype(np.int32)), pa.array(slots, pa.list_(pa.string()))], ["h", "item_id", "ipos", "islots"]
             )
 
-    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL").mapInArrow(run, "h long, item_id long, ipos int, islots array<string>")
+    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL").transform(through_arrow, run, "h long, item_id long, ipos int, islots array<string>")
 
 
 def _filter(items: DataFrame) -> tuple[bytes, int]:
@@ -137,7 +137,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, words
             slots = [_slots(split[t], f, words, memory) for t, f in zip(text[on].tolist(), first[on].tolist())]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[on])), pa.array(first[on].astype(np.int32)), pa.array(h[on].view(np.int64)), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "dpos", "h", "dslots"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, dpos int, h long, dslots array<string>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL").transform(through_arrow, run, "doc_id long, dpos int, h long, dslots array<string>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import as_text, cut, slices
+from .common import as_text, cut, slices, through_arrow
 
 # Given names by script and gender, family names by script (a final # takes the gender's ending), and titles by gender.
 GIVEN = {
@@ -179,7 +179,7 @@ def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
             seen = sorted({f[2:] for t in as_text(b.column("text")) for f in detect(t)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], ["kind", "canonical"])
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, canonical string").distinct()
+    return df.select(F.col(text_col).alias("text")).transform(through_arrow, run, "kind string, canonical string").distinct()
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
@@ -194,7 +194,7 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     now = found.withColumn("attempt", F.lit(0))
     taken = found.select(F.col("kind").alias("k"), F.col("canonical").alias("c"))
     while True:
-        drawn = now.mapInArrow(run, "kind string, canonical string, attempt int, surrogate string")
+        drawn = now.transform(through_arrow, run, "kind string, canonical string, attempt int, surrogate string")
         order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
         marked = drawn.withColumn("place", F.row_number().over(order)).join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left")
         checked = cut(marked.withColumn("again", (F.col("place") > 1) | F.col("c").isNotNull()).drop("k", "c", "place"))
@@ -220,7 +220,7 @@ def pseudonymise(df: DataFrame, *, key: bytes, text_col: str = "text", spans_col
         df = _told(df, again, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = lru_cache(maxsize=100_000)(lambda kind, canonical, attempt: surrogate(key, kind, canonical, attempt))
+        draw = lru_cache(maxsize=20_000)(lambda kind, canonical, attempt: surrogate(key, kind, canonical, attempt))
         at = names.index(text_col)
         for b in slices(batches, at):
             told = b.column(len(names)).to_pylist() if b.num_columns > len(names) else None
@@ -246,7 +246,7 @@ def pseudonymise(df: DataFrame, *, key: bytes, text_col: str = "text", spans_col
     schema = df.select(*[F.col(f"`{c}`") for c in names]).schema
     if spans_col:
         schema = schema.add(spans_col, DataType.fromDDL("array<struct<start:int,end:int,kind:string>>"))
-    return df.mapInArrow(run, schema)
+    return df.transform(through_arrow, run, schema)
 
 
 def _told(df: DataFrame, again: DataFrame, text_col: str) -> DataFrame:
@@ -258,6 +258,6 @@ def _told(df: DataFrame, again: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], ["h", "kind", "canonical"])
 
     h = F.xxhash64(text_col)
-    held = df.select(h.alias("h"), F.col(text_col).alias("text")).mapInArrow(run, "h long, kind string, canonical string").distinct()
+    held = df.select(h.alias("h"), F.col(text_col).alias("text")).transform(through_arrow, run, "h long, kind string, canonical string").distinct()
     lists = held.join(again, ["kind", "canonical"]).groupBy(F.col("h").alias("_h")).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("_told"))
     return df.join(lists, h == F.col("_h"), "left").select(*[df[f"`{c}`"] for c in df.columns], "_told")

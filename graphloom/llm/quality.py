@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import as_bytes, slices
+from .common import as_bytes, slices, through_arrow
 from .labelled import sample
 
 # Classes of bytes.
@@ -147,4 +147,4 @@ def classify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
             lines = pa.ListArray.from_arrays(pa.array(offsets), pa.array((bad - begin[owner]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(score, 0, 1)), pa.array(per), lines], ["doc_id", "score", "n_lines", "bad_lines"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, n_lines long, bad_lines array<int>")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, "doc_id long, score double, n_lines long, bad_lines array<int>")

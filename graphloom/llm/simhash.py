@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, slices
+from .common import as_bytes, cut, slices, through_arrow
 from .components import components
 from .xxh import xxh64_spans
 
@@ -97,7 +97,7 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "pop", "sketch"][: len(columns)])
 
     schema = "doc_id long, code binary, pop int" + ", sketch binary" * sketch
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, schema)
 
 
 class Forest:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import as_text, slices
+from .common import as_text, slices, through_arrow
 from .labelled import sample
 
 PREFIXES = (7, 6, 5, 4)
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’¡¿…*_-"
 #: Token types that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def token_features(token: str) -> list[str]:
@@ -213,7 +213,7 @@ def tag(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str =
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tagger.scores(p, tokens)), pa.array(found, kind)], ["doc_id", "score", "spans"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, 
         run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
     )
 
@@ -228,4 +228,4 @@ def keep_clean(df: DataFrame, model: Model, *, text_col: str = "text", most: flo
         for b in slices(batches, at):
             yield b.filter(pa.array(tagger.scores(*tagger.marginals(as_text(b.column(at)))) < most))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(through_arrow, run, df.schema)
