@@ -1,0 +1 @@
+"""Column expressions live with the operators that use them."""

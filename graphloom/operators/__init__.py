@@ -1,0 +1 @@
+"""Pure DataFrame operators."""

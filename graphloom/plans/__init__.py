@@ -1,0 +1 @@
+"""Multi-phase runs and the registered queries."""

@@ -1,0 +1 @@
+"""No operator of the engine works on streams; batches here are vertex ranges of one iteration."""
