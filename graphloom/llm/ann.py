@@ -93,7 +93,7 @@ def block_top(ids: np.ndarray, vectors: np.ndarray, codes: Codes, query_id: int,
         first = first[other[first]]
     sure = exact(vectors[first], query)
     floor = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) > k else -np.inf
-    near = np.flatnonzero(other & (value + bound >= floor))
+    near = np.flatnonzero(other & (value + bound >= floor / norm))  # estimates are for the unit query
     near = np.union1d(near, first)
     score = exact(vectors[near], query)
     if len(near) > k:
