@@ -124,8 +124,8 @@ def fit(rows: pd.DataFrame, *, steps: int = 100) -> Model:
     return Model(mean, scale, weights, chain)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, per_class: int = 1000, most_chars: int = 12_000) -> Model:
-    """Fits on at most 2 * per_class labelled documents of at most most_chars characters (labelled.sample)."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, per_class: tuple[int, int] = (1000, 1000), most_chars: int = 12_000) -> Model:
+    """Fits on at most sum(per_class) labelled documents of at most most_chars characters (labelled.sample)."""
     return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class, most_chars=most_chars))
 
 

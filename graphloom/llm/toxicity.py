@@ -117,7 +117,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(rows: pd.DataFrame, *, least_docs: int = 5, least_share: float = 0.03, least_ratio: float = 15.0, steps: int = 40) -> Model:
+def fit(rows: pd.DataFrame, *, least_docs: int = 4, least_share: float = 0.008, least_ratio: float = 25.0, steps: int = 40) -> Model:
     """From (text, label): label 1 is toxic.
 
     A telling feature occurs in least_docs toxic documents and in least_share of them, between as many
@@ -145,6 +145,8 @@ def fit(rows: pd.DataFrame, *, least_docs: int = 5, least_share: float = 0.03, l
     if not index:
         return empty
     types = Types(index)
+    # Clean documents beyond the number of toxic ones only served the counts.
+    rows = pd.concat([rows[rows["label"] == 1], rows[rows["label"] == 0].head(max(n1, 200))])
     texts = rows["text"].tolist()
     x, size, per = _chains(texts, types)
     begin = np.cumsum(size) - size
@@ -166,8 +168,8 @@ def fit(rows: pd.DataFrame, *, least_docs: int = 5, least_share: float = 0.03, l
     return Model(index, weights, chain, _logistic(_summary(p, tokens), rows["label"].to_numpy()))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = 1000, most_chars: int = 6_000) -> Model:
-    """Fits on at most 2 * per_class labelled documents of at most most_chars characters (labelled.sample)."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: tuple[int, int] = (4000, 1000), most_chars: int = 6_000) -> Model:
+    """Fits on at most sum(per_class) labelled documents of at most most_chars characters (labelled.sample)."""
     return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class, most_chars=most_chars))
 
 
