@@ -168,5 +168,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns as they are, that hold no benchmark item; rows without id stay."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_held"), "left_anti")
+    bad = contaminated(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct()
+    return docs.join(bad, docs[id_col] == bad["doc_id"], "left_anti")

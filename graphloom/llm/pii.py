@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StructType
 
 from .common import as_text, cut, slices, through_arrow
 
@@ -211,7 +211,7 @@ def pseudonymise(df: DataFrame, *, key: bytes, text_col: str = "text", spans_col
     different ones.  Null texts stay null; texts without entities do not change.  Up to most_told entities
     that needed another draw are sent to all workers; beyond that they are joined to the texts that hold them.
     """
-    names = df.columns
+    names, schema = df.columns, df.schema
     table = assign(entities(df, text_col), key)
     again = cut(table.where("attempt > 0").select("kind", "canonical", "attempt"))
     few = again.limit(most_told + 1).count() <= most_told
@@ -243,9 +243,8 @@ def pseudonymise(df: DataFrame, *, key: bytes, text_col: str = "text", spans_col
                 columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))))
             yield pa.RecordBatch.from_arrays(columns, [*names, spans_col] if spans_col else names)
 
-    schema = df.select(*[F.col(f"`{c}`") for c in names]).schema
     if spans_col:
-        schema = schema.add(spans_col, DataType.fromDDL("array<struct<start:int,end:int,kind:string>>"))
+        schema = StructType([*schema.fields]).add(spans_col, DataType.fromDDL("array<struct<start:int,end:int,kind:string>>"))
     return df.transform(through_arrow, run, schema)
 
 
@@ -259,5 +258,8 @@ def _told(df: DataFrame, again: DataFrame, text_col: str) -> DataFrame:
 
     h = F.xxhash64(text_col)
     held = df.select(h.alias("h"), F.col(text_col).alias("text")).transform(through_arrow, run, "h long, kind string, canonical string").distinct()
-    lists = held.join(again, ["kind", "canonical"]).groupBy(F.col("h").alias("_h")).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("_told"))
-    return df.join(lists, h == F.col("_h"), "left").select(*[df[f"`{c}`"] for c in df.columns], "_told")
+    name = "told"
+    while name in df.columns:
+        name += "_"
+    lists = held.join(again, ["kind", "canonical"]).groupBy("h").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias(name))
+    return df.join(lists, F.xxhash64(df[f"`{text_col}`"]) == lists["h"], "left").select(*[df[f"`{c}`"] for c in df.columns], lists[name])

@@ -282,7 +282,8 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     """
     classes = near_duplicates(df, id_col=id_col, text_col=text_col, words=words, width=width, radius=radius, similarity=similarity, tile=tile)
     classes = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")))
-    kept = df.join(classes.where("doc_id <> c").select(F.col("doc_id").alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = classes.where("doc_id <> c").select("doc_id")
+    kept = df.join(gone, df[id_col] == gone["doc_id"], "left_anti")
     if classes.where("n > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

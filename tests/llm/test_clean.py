@@ -1,0 +1,67 @@
+import random
+
+from graphloom.llm import decontaminate, pii, queries
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghijk") for _ in range(r.randint(3, 8))) for _ in range(n))
+
+
+def test_leaks_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    items = spark.read.parquet(f"{d}/benchmark.parquet").collect()
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op2_decontaminate(spark, d).collect()}
+    flat = lambda t: "".join(c for c in t.lower() if c.isalnum() or c == " ")
+    texts = {x["doc_id"]: f" {flat(' '.join(x['text'].split()))} " for x in docs}
+    want = {(i, x["item_id"]) for x in items for i, t in texts.items() if f" {flat(' '.join(x['text'].split()))} " in t}
+    assert want <= got and len(got - want) <= 0.05 * len(want) + 1
+
+
+def test_templates_and_slots(spark):
+    question = "Natalia sold 48 clips to her friends in April and then she sold half as many clips in May so 48 and 24"
+    again = "Emma sold 60 clips to her friends in April and then she sold half as many clips in May so 60 and 30"
+    odd = again.replace("so 60", "so 61")
+    bench = spark.createDataFrame([(1, question), (2, None), (3, "only four words here"), (4, ""), (None, question)], "item_id long, text string")
+    rows = [(1, f"{words(50, 1)} {question} {words(50, 2)}"), (2, f"{words(9, 3)} {again}"), (3, f"{words(9, 3)} {odd}"), (4, None), (5, ""), (6, words(40_000, 4)), (7, "Only four words here."), (8, question), (8, question), (None, question)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS h", "1 AS n")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): "exact", (2, 1): "reparameterised", (7, 3): "exact", (8, 1): "exact"}
+    kept = decontaminate.keep_clean(docs, bench)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 4, 5, 6] and kept.columns == docs.columns
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+TEXT = "Mr. John Smith, Anna Weber (415) 555-1234 +1 415-555-1234 card 4111-1111-1111-1111 or 4111111111111111, bo.b@mail.example.org 10.20.30.40 password=ab12cd34ef Иван Петров; 123-45-6789; DE89370400440532013000"
+
+
+def test_entities():
+    kinds = [k for *_, k, _ in pii.detect(TEXT)]
+    assert kinds == ["name-m-latin", "name-f-latin", "phone", "phone", "card", "card", "email", "ip", "secret", "name-m-cyrillic", "ssn", "iban"]
+    assert pii.detect("version 1.2.3.4.5 at 12:30, 2024-01-02, 3.5 of 100 and Paris in May") == []
+
+
+def test_surrogates_keep_form_coreference_and_distinctness(spark):
+    rows = [(1, TEXT), (2, f"{TEXT} twice {TEXT}"), (3, None), (4, ""), (5, "nothing here"), (5, "nothing here"), (None, "10.20.30.40 " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "7 AS kind", "8 AS told")
+    done = pii.pseudonymise(df, key=b"k", spans_col="spans")
+    assert done.columns == [*df.columns, "spans"]
+    got = {r["doc_id"]: r for r in done.collect()}
+    new = got[1]["text"]
+    assert got[2]["text"] == f"{new} twice {new}" and got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "nothing here"
+    assert not {c for *_, c in pii.detect(TEXT)} & {c for *_, c in pii.detect(new)}
+    assert [k for *_, k, _ in pii.detect(new)] == [k for *_, k, _ in pii.detect(TEXT)]
+    cards = [c for *_, k, c in pii.detect(new) if k == "card"]
+    assert len(set(cards)) == 1 and pii.luhn(cards[0]) == 0
+    assert [(new[s["start"] : s["end"]], s["kind"]) for s in got[1]["spans"]] == [(new[a:b], k) for a, b, k, _ in pii.detect(new)]
+    assert pii.pseudonymise(df, key=b"other").where("doc_id = 1").first()["text"] != new
+    assert sorted(map(str, pii.pseudonymise(df, key=b"k", most_told=-1).collect())) == sorted(map(str, done.drop("spans").collect()))
+    assert pii.pseudonymise(df.limit(0), key=b"k").count() == 0
+
+
+def test_collisions_are_drawn_again(spark):
+    ips = [(f"{a}.{b}.7.8",) for a in range(1, 10) for b in range(1, 10)]  # 81 of 6561 possible surrogates
+    table = pii.assign(spark.createDataFrame(ips, "canonical string").selectExpr("'ip' AS kind", "canonical"), b"k").collect()
+    new = [r["surrogate"] for r in table]
+    assert len(set(new)) == len(ips) and not set(new) & {x for x, in ips} and all(len(x) == 7 for x in new)
