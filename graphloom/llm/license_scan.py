@@ -16,6 +16,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Licence identifiers and the wording of their usual notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -78,13 +80,15 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     has_anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(need)})(?![a-z0-9])"
     postings = spark.createDataFrame([(t, i, w, idf[t]) for i, v in enumerate(vectors) for t, w in v.items()], "term string, template int, weight double, idf double")
     names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(templates)], "template int, license string")
-    files = df.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    files = df.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")).withColumn("row", F.struct(F.xxhash64("path", "text").alias("a"), F.hash("text", "path").alias("b")))
+    # Rows are known by 96 bits of what they hold, so that they are found again however Spark deals them out; equal ones share a result.
     # A unit is a line (from 0), or the whole text (-1).
     asked = files.where(F.col("text").rlike(has_anchor))
-    units = asked.select("row", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(has_anchor))
-    units = units.unionByName(asked.select("row", F.lit(-1).alias("line"), F.col("text").alias("unit")))
+    every = F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("place", "unit")
+    units = asked.select("row", every).select("row", (F.col("place") - 1).alias("line"), "unit").where(F.col("unit").rlike(has_anchor))
     terms = units.select("row", "line", F.explode(F.split(F.lower("unit"), "[^a-z0-9]+")).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(STOP))
-    counted = terms.groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("n"))
+    # Norms, products and the choice of rows all start here: the texts are read for it once.
+    counted = cut(terms.groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("n")))
     known = postings.select("term", "idf").distinct()
     weighed = counted.join(known, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     norms = weighed.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
