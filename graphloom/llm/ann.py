@@ -91,15 +91,15 @@ def block_top(ids: np.ndarray, vectors: np.ndarray, codes: Codes, query_id: int,
     if len(value) > m:
         first = np.argpartition(value, len(value) - m)[len(value) - m :]
         first = first[other[first]]
-    sure = exact(vectors[first], query)
-    floor = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) > k else -np.inf
+    slack = 1e-12 * norm * codes.length.max()  # far above what the order of a sum can change
+    sure = vectors[first] @ query
+    floor = np.partition(sure, len(sure) - k)[len(sure) - k] - slack if len(sure) > k else -np.inf
     near = np.flatnonzero(other & (value + bound >= floor / norm))  # estimates are for the unit query
     near = np.union1d(near, first)
-    score = exact(vectors[near], query)
     if len(near) > k:
-        kth = np.partition(score, len(score) - k)[len(score) - k]
-        keep = score >= kth
-        near, score = near[keep], score[keep]
+        fast = vectors[near] @ query
+        near = near[fast >= np.partition(fast, len(fast) - k)[len(fast) - k] - slack]
+    score = exact(vectors[near], query)
     order = np.lexsort((ids[near], -score))[:k]
     return ids[near[order]], score[order]
 
