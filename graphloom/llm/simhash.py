@@ -6,9 +6,9 @@ whose counts differ by more than the radius cannot hold a link and are never for
 pair of tiles is compared exactly with exclusive-or and bit counts, and gives back a spanning forest
 of its links, never all its pairs.
 
-Links can be checked exactly, or closely for long texts: with ``similarity`` the fingerprints' links
-only bring candidates together, and those are compared again with their bottom-k sketches of shingle
-hashes, which hold all shingles of a short text.
+Links can be checked exactly: with ``similarity`` the fingerprints' links only bring candidates
+together.  A second pass takes the shingle sets of the candidates alone, and pairs are compared by
+these whole sets.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ from .xxh import xxh64_spans
 
 #: Most fingerprints in a tile; a pair of tiles is what one task holds (16 bytes each and up).
 TILE = 49152
-#: Most shingle hashes in a sketch; shorter texts' similarities are exact.
+#: Shingle hashes in a sketch, by which pairs of long texts that are far from similar are passed over.
 SKETCH = 128
+#: Most bytes of shingle sets in a tile of candidates.
+SET_BYTES = 16 << 20
+#: Most candidates whose ids are sent to all workers; the texts of more are found by a join.
+MOST_SENT = 1_000_000
 NONE = np.uint32(0xFFFFFFFF)
 GOLDEN = 0x9E3779B97F4A7C15
 LANES = np.uint64(0x0101010101010101)
@@ -75,12 +79,12 @@ def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, sketch: bool = False) -> DataFrame:
-    """(doc_id, code, pop[, sketch]): code is 8 * width bytes, most significant first; pop counts its set bits.
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, shingles: bool = False) -> DataFrame:
+    """(doc_id, code, pop[, shingles]): code is 8 * width bytes, most significant first; pop counts its set bits.
 
     The first 64 bits follow XXH64 with seed 42 over shingles of lower-cased words; further ones hash
-    that hash again.  A null or blank text has code zero.  A repeated row gives a repeated row; other
-    columns are ignored.
+    that hash again.  A null or blank text has code zero.  shingles: the distinct hashes, ascending, 64
+    bits each.  A repeated row gives a repeated row; other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +94,12 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             pop = np.bitwise_count(codes).sum(1, dtype=np.int32)
             raw = codes.astype(">u8").tobytes()
             columns = [b.column("doc_id"), pa.array([raw[i : i + 8 * width] for i in range(0, len(raw), 8 * width)], pa.binary()), pa.array(pop)]
-            if sketch:
-                ends = np.cumsum(count).tolist()
-                least = [np.unique((h[e - n : e] >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes() for e, n in zip(ends, count.tolist())]
-                columns.append(pa.array(least, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "pop", "sketch"][: len(columns)])
+            if shingles:
+                sets = [np.unique(h[e - n : e]).tobytes() for e, n in zip(np.cumsum(count).tolist(), count.tolist())]
+                columns.append(pa.array(sets, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "pop", "shingles"][: len(columns)])
 
-    schema = "doc_id long, code binary, pop int" + ", sketch binary" * sketch
+    schema = "doc_id long, code binary, pop int" + ", shingles binary" * shingles
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, schema)
 
 
@@ -145,10 +148,36 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twice & (place <= n[:, None])).sum(1) / np.maximum(n, 1)
 
 
-def compare(codes: np.ndarray, split: int, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> Forest:
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The least SKETCH of each ascending set, high halves only, rows padded with NONE."""
+    out = np.full((len(sets), SKETCH), NONE)
+    for row, x in zip(out, sets):
+        row[: min(len(x), SKETCH)] = x[:SKETCH] >> np.uint64(32)
+    return out
+
+
+def reach(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of each pair of ascending sets reaches ``similarity``, by all their elements.
+
+    Sketches only spare pairs of long sets that they put at least six deviations below it.
+    """
+    size = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64).reshape(2, -1)
+    ok = (size.min(0) > 0) & (size.min(0) / np.maximum(size.max(0), 1) >= similarity)
+    if len(long := np.flatnonzero(ok & (size.min(0) > 16 * SKETCH))):
+        far = similarity - 6 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+        ok[long] = similar(sketches([a[i] for i in long]), sketches([b[i] for i in long])) >= far
+    for i in np.flatnonzero(ok).tolist():
+        both = np.concatenate([a[i], b[i]])
+        both.sort()
+        shared = np.count_nonzero(both[1:] == both[:-1])
+        ok[i] = shared / (len(both) - shared) >= similarity
+    return ok
+
+
+def compare(codes: np.ndarray, split: int, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0.0) -> Forest:
     """Links at radius or fewer differing bits between the first ``split`` codes and the rest, or, if there is no rest, within all.
 
-    With sketches, of these only those whose sets reach the similarity; nearest first, so that few pairs of one group are left to look at.
+    With sets, of these only those whose sets reach the similarity; nearest first, so that few pairs of one group are left to look at.
     """
     forest, n = Forest(len(codes)), len(codes)
     own = split == n
@@ -164,7 +193,7 @@ def compare(codes: np.ndarray, split: int, radius: int, sketches: np.ndarray | N
                 a, b = np.nonzero(near)
                 far = d[a, b]
                 a, b = a + i, b + j + (0 if own else split)
-                if sketches is None:
+                if sets is None:
                     forest.link(a, b)
                     continue
                 order = np.argsort(far, kind="stable")
@@ -172,14 +201,14 @@ def compare(codes: np.ndarray, split: int, radius: int, sketches: np.ndarray | N
                 while len(a):
                     apart = forest.label[a] != forest.label[b]
                     a, b = a[apart], b[apart]
-                    ok = similar(sketches[a[:512]], sketches[b[:512]]) >= similarity if len(a) else np.zeros(0, bool)
+                    ok = reach([sets[i] for i in a[:512]], [sets[i] for i in b[:512]], similarity)
                     forest.link(a[:512][ok], b[:512][ok])
                     a, b = a[512:], b[512:]
     return forest
 
 
 def _tile_links(tiles: DataFrame, partners: Column, radius: int, similarity: float = 0.0) -> DataFrame:
-    """Spanning edges over the pairs of tiles (me, rows) and (one of partners, rows); rows: (code, rep[, sketch])."""
+    """Spanning edges over the pairs of tiles (me, rows) and (one of partners, rows); rows: (code, rep[, shingles])."""
     pairs = tiles.withColumn("other", F.explode(partners)).select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), "me", "rows")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -192,12 +221,8 @@ def _tile_links(tiles: DataFrame, partners: Column, radius: int, similarity: flo
             field = lambda name: [x for p in parts for x in p.field(name).to_pylist()]
             rep = np.array(field("rep"), np.int64)
             codes = np.frombuffer(b"".join(field("code")), ">u8").astype(np.uint64).reshape(len(rep), -1)
-            sketches = None
-            if similarity:
-                sketches = np.full((len(rep), SKETCH), NONE)
-                for i, x in enumerate(field("sketch")):
-                    sketches[i, : len(x) // 4] = np.frombuffer(x, np.uint32)
-            label = compare(codes, len(held[a]), radius, sketches, similarity).label
+            sets = [np.frombuffer(x, np.uint64) for x in field("shingles")] if similarity else None
+            label = compare(codes, len(held[a]), radius, sets, similarity).label
             moved = np.flatnonzero(label != np.arange(len(label)))
             out = (rep[moved], rep[label[moved]])
         return pa.table({"u": pa.array(out[0], pa.int64()), "v": pa.array(out[1], pa.int64())})
@@ -230,21 +255,22 @@ def links(codes: DataFrame, *, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def checked_links(members: DataFrame, *, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
-    """As links(), of (class, code, rep, sketch), within a class only, and only pairs whose sketches reach the similarity.
+    """As links(), of (class, code, rep, shingles), within a class only, and only pairs whose shingles reach the similarity.
 
     Small classes share tiles; a large class has tiles of its own, so that no task holds more than a pair of tiles.
     """
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
-    n = members.count()
-    shared = max(1, -(-n // tile))
-    placed = members.join(sizes, "class").withColumn("parts", F.when(F.col("size") > tile, F.ceil(F.col("size") / tile)).otherwise(F.lit(1)).cast("int"))
+    tiles_of = lambda rows, size: F.greatest(F.ceil(rows / tile), F.ceil(size / SET_BYTES))
+    sizes = members.groupBy("class").agg(tiles_of(F.count(F.lit(1)), F.sum(F.length("shingles").cast("long"))).cast("int").alias("parts"))
+    total = members.agg(tiles_of(F.count(F.lit(1)), F.coalesce(F.sum(F.length("shingles").cast("long")), F.lit(0)))).first()[0]
+    shared = max(1, int(total))
+    placed = members.join(sizes, "class")
     group = F.when(F.col("parts") > 1, F.concat(F.lit("c"), F.col("class").cast("string"))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("class"), F.lit(shared)).cast("string")))
     name = lambda part: F.concat("group", F.lit("/"), F.lpad(part.cast("string"), 9, "0"))
     tiles = (
         placed.withColumn("group", group)
         .withColumn("me", name(F.pmod(F.xxhash64("code"), F.col("parts"))))
         .groupBy("group", "parts", "me")
-        .agg(F.collect_list(F.struct("code", "rep", "sketch")).alias("rows"))
+        .agg(F.collect_list(F.struct("code", "rep", "shingles")).alias("rows"))
     )
     partners = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), name)
     return _tile_links(tiles, partners, radius, similarity)
@@ -261,13 +287,16 @@ def near_duplicates(
     own.  Texts without words share code zero and so one component.  A null doc_id takes no part in
     links and has a null component_id.
     """
-    found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width, sketch=similarity is not None))
+    found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width))
     codes = cut(found.where("doc_id IS NOT NULL").groupBy("code", "pop").agg(F.min("doc_id").alias("rep")))
     joined = components(links(codes, radius=radius, tile=tile))
     if similarity is not None:
-        sketches = found.where("doc_id IS NOT NULL").groupBy("doc_id", "code").agg(F.min("sketch").alias("sketch"))
-        near = codes.join(joined, codes.rep == joined.node).select("component", "code", "rep")
-        members = cut(near.join(sketches.select(F.col("doc_id").alias("rep"), "code", "sketch"), ["rep", "code"]).withColumnRenamed("component", "class"))
+        near = cut(codes.join(joined, codes.rep == joined.node).select(F.col("component").alias("class"), "code", "rep"))
+        ids = near.select("rep").distinct()
+        texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        texts = texts.join(F.broadcast(ids) if near.count() <= MOST_SENT else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+        sets = fingerprints(texts, words=words, width=width, shingles=True).groupBy(F.col("doc_id").alias("rep"), "code").agg(F.min("shingles").alias("shingles"))
+        members = cut(near.join(sets, ["rep", "code"]))
         joined = components(checked_links(members, radius=radius, similarity=similarity))
     class_of = codes.join(joined, codes.rep == joined.node, "left").select(F.col("code").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return found.join(class_of, F.col("code") == F.col("of"), "left").select(

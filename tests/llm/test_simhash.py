@@ -105,3 +105,16 @@ def test_keep_one_takes_near_copies_and_leaves_others(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert kept.columns == ["doc_id", "text", "lang"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(12), *range(200, 212)]
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    rows, alike = [], {}
+    for s in range(24):  # similarities of 0.806 and 0.785
+        base, other = words(600, 1000 + s).split(), words(72, 2000 + s).split()
+        near = base[: -64 if s % 2 else -72] + other[: 64 if s % 2 else 72]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (base, near))
+        alike[s] = len(a & b) / len(a | b)
+        rows += [(s, " ".join(base)), (100 + s, " ".join(near))]
+    assert sum(0.8 <= x < 0.81 for x in alike.values()) == sum(0.78 < x < 0.8 for x in alike.values()) == 12
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {s for s in alike if 100 + s not in kept} == {s for s, x in alike.items() if x >= 0.8}
