@@ -79,24 +79,28 @@ def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, shingles: bool = False) -> DataFrame:
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, distinct: bool = False, shingles: bool = False) -> DataFrame:
     """(doc_id, code, pop[, shingles]): code is 8 * width bytes, most significant first; pop counts its set bits.
 
     The first 64 bits follow XXH64 with seed 42 over shingles of lower-cased words; further ones hash
-    that hash again.  A null or blank text has code zero.  shingles: the distinct hashes, ascending, 64
-    bits each.  A repeated row gives a repeated row; other columns are ignored.
+    that hash again.  A null or blank text has code zero.  distinct: each shingle of a text counts once,
+    so that near codes are near sets.  shingles: the distinct hashes, ascending, 64 bits each.  A
+    repeated row gives a repeated row; other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, count = shingle_hashes(as_bytes(b.column("text")), words)
+            if distinct or shingles:
+                sets = [np.unique(h[e - n : e]) for e, n in zip(np.cumsum(count).tolist(), count.tolist())]
+            if distinct:
+                h, count = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
             codes = np.stack([majority(_more(h, k) if k else h, count) for k in range(width)], axis=1)
             pop = np.bitwise_count(codes).sum(1, dtype=np.int32)
             raw = codes.astype(">u8").tobytes()
             columns = [b.column("doc_id"), pa.array([raw[i : i + 8 * width] for i in range(0, len(raw), 8 * width)], pa.binary()), pa.array(pop)]
             if shingles:
-                sets = [np.unique(h[e - n : e]).tobytes() for e, n in zip(np.cumsum(count).tolist(), count.tolist())]
-                columns.append(pa.array(sets, pa.binary()))
+                columns.append(pa.array([x.tobytes() for x in sets], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "pop", "shingles"][: len(columns)])
 
     schema = "doc_id long, code binary, pop int" + ", shingles binary" * shingles
@@ -281,13 +285,13 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of df: (doc_id, fingerprint, component_id).
 
-    fingerprint: code in lower-case hexadecimal.  Documents link at ``radius`` or fewer differing bits
+    fingerprint: code in lower-case hexadecimal, of distinct shingles if ``similarity`` is given.  Documents link at ``radius`` or fewer differing bits
     and, if ``similarity`` is given, at that Jaccard similarity of their shingles or more; equal
     fingerprints always do.  component_id: the least doc_id that links reach, a document alone has its
     own.  Texts without words share code zero and so one component.  A null doc_id takes no part in
     links and has a null component_id.
     """
-    found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width))
+    found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width, distinct=similarity is not None))
     codes = cut(found.where("doc_id IS NOT NULL").groupBy("code", "pop").agg(F.min("doc_id").alias("rep")))
     joined = components(links(codes, radius=radius, tile=tile))
     if similarity is not None:
@@ -295,7 +299,7 @@ def near_duplicates(
         ids = near.select("rep").distinct()
         texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         texts = texts.join(F.broadcast(ids) if near.count() <= MOST_SENT else ids, F.col("doc_id") == F.col("rep"), "left_semi")
-        sets = fingerprints(texts, words=words, width=width, shingles=True).groupBy(F.col("doc_id").alias("rep"), "code").agg(F.min("shingles").alias("shingles"))
+        sets = fingerprints(texts, words=words, width=width, distinct=True, shingles=True).groupBy(F.col("doc_id").alias("rep"), "code").agg(F.min("shingles").alias("shingles"))
         members = cut(near.join(sets, ["rep", "code"]))
         joined = components(checked_links(members, radius=radius, similarity=similarity))
     class_of = codes.join(joined, codes.rep == joined.node, "left").select(F.col("code").alias("of"), F.coalesce("component", "rep").alias("component_id"))

@@ -118,3 +118,12 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert sum(0.8 <= x < 0.81 for x in alike.values()) == sum(0.78 < x < 0.8 for x in alike.values()) == 12
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {s for s in alike if 100 + s not in kept} == {s for s, x in alike.items() if x >= 0.8}
+
+
+def test_repeated_lines_leave_a_copy_near(spark):
+    rows = []
+    for s in range(4):  # repeated 20 and 80 times, the line turns most bits of a majority over occurrences
+        base, line = words(300, 70 + s), words(10, 80 + s)
+        rows += [(s, base), (10 + s, f"{base}\n" + f"{line}\n" * (20 if s % 2 else 80))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3]
