@@ -1,7 +1,7 @@
 """SimHash near-duplicates by tiled exact comparison of fingerprints.
 
 Fingerprints come from one narrow pass.  Equal fingerprints collapse to one representative before
-anything is compared.  Representatives are dealt into tiles by their population count; tile pairs
+anything is compared (if sets are checked, equal fingerprints of equal sets).  Representatives are dealt into tiles by their population count; tile pairs
 whose counts differ by more than the radius cannot hold a link and are never formed.  Each remaining
 pair of tiles is compared exactly with exclusive-or and bit counts, and gives back a spanning forest
 of its links, never all its pairs.
@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,11 +81,11 @@ def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, distinct: bool = False, shingles: bool = False) -> DataFrame:
-    """(doc_id, code, pop[, shingles]): code is 8 * width bytes, most significant first; pop counts its set bits.
+    """(doc_id, code, pop[, key][, shingles]): code is 8 * width bytes, most significant first; pop counts its set bits.
 
     The first 64 bits follow XXH64 with seed 42 over shingles of lower-cased words; further ones hash
     that hash again.  A null or blank text has code zero.  distinct: each shingle of a text counts once,
-    so that near codes are near sets.  shingles: the distinct hashes, ascending, 64 bits each.  A
+    so that near codes are near sets, and key is a 128-bit hash of the set.  shingles: the distinct hashes, ascending, 64 bits each.  A
     repeated row gives a repeated row; other columns are ignored.
     """
 
@@ -99,11 +100,14 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             pop = np.bitwise_count(codes).sum(1, dtype=np.int32)
             raw = codes.astype(">u8").tobytes()
             columns = [b.column("doc_id"), pa.array([raw[i : i + 8 * width] for i in range(0, len(raw), 8 * width)], pa.binary()), pa.array(pop)]
+            if distinct:
+                columns.append(pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()))
             if shingles:
                 columns.append(pa.array([x.tobytes() for x in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "pop", "shingles"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, code binary, pop int" + ", shingles binary" * shingles
+    names = ["doc_id", "code", "pop", *["key"] * distinct, *["shingles"] * shingles]
+    schema = "doc_id long, code binary, pop int" + ", key binary" * distinct + ", shingles binary" * shingles
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, schema)
 
 
@@ -272,7 +276,7 @@ def checked_links(members: DataFrame, *, radius: int, similarity: float, tile: i
     name = lambda part: F.concat("group", F.lit("/"), F.lpad(part.cast("string"), 9, "0"))
     tiles = (
         placed.withColumn("group", group)
-        .withColumn("me", name(F.pmod(F.xxhash64("code"), F.col("parts"))))
+        .withColumn("me", name(F.pmod(F.xxhash64("code", "rep"), F.col("parts"))))
         .groupBy("group", "parts", "me")
         .agg(F.collect_list(F.struct("code", "rep", "shingles")).alias("rows"))
     )
@@ -287,23 +291,28 @@ def near_duplicates(
 
     fingerprint: code in lower-case hexadecimal, of distinct shingles if ``similarity`` is given.  Documents link at ``radius`` or fewer differing bits
     and, if ``similarity`` is given, at that Jaccard similarity of their shingles or more; equal
-    fingerprints always do.  component_id: the least doc_id that links reach, a document alone has its
+    fingerprints, then those of equal sets of shingles, always do.  component_id: the least doc_id that links reach, a document alone has its
     own.  Texts without words share code zero and so one component.  A null doc_id takes no part in
     links and has a null component_id.
     """
     found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width, distinct=similarity is not None))
-    codes = cut(found.where("doc_id IS NOT NULL").groupBy("code", "pop").agg(F.min("doc_id").alias("rep")))
-    joined = components(links(codes, radius=radius, tile=tile))
-    if similarity is not None:
-        near = cut(codes.join(joined, codes.rep == joined.node).select(F.col("component").alias("class"), "code", "rep"))
+    kind = ["code"] if similarity is None else ["code", "key"]
+    kinds = cut(found.where("doc_id IS NOT NULL").groupBy(*kind, "pop").agg(F.min("doc_id").alias("rep")))
+    if similarity is None:
+        joined = components(links(kinds, radius=radius, tile=tile))
+    else:
+        codes = cut(kinds.groupBy("code", "pop").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")))
+        joined = components(links(codes.drop("n"), radius=radius, tile=tile))
+        classes = codes.join(joined, codes.rep == joined.node, "left").where("component IS NOT NULL OR n > 1")
+        near = cut(kinds.select(*kind, "rep").join(classes.select(F.coalesce("component", "rep").alias("class"), "code"), "code"))
         ids = near.select("rep").distinct()
         texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         texts = texts.join(F.broadcast(ids) if near.count() <= MOST_SENT else ids, F.col("doc_id") == F.col("rep"), "left_semi")
-        sets = fingerprints(texts, words=words, width=width, distinct=True, shingles=True).groupBy(F.col("doc_id").alias("rep"), "code").agg(F.min("shingles").alias("shingles"))
-        members = cut(near.join(sets, ["rep", "code"]))
+        sets = fingerprints(texts, words=words, width=width, distinct=True, shingles=True).groupBy(F.col("doc_id").alias("rep"), *kind).agg(F.min("shingles").alias("shingles"))
+        members = cut(near.join(sets, ["rep", *kind]))
         joined = components(checked_links(members, radius=radius, similarity=similarity))
-    class_of = codes.join(joined, codes.rep == joined.node, "left").select(F.col("code").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    return found.join(class_of, F.col("code") == F.col("of"), "left").select(
+    class_of = kinds.join(joined, kinds.rep == joined.node, "left").select(*kind, F.coalesce("component", "rep").alias("component_id"))
+    return found.join(class_of, kind, "left").select(
         "doc_id", F.lower(F.hex("code")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 

@@ -127,3 +127,15 @@ def test_repeated_lines_leave_a_copy_near(spark):
         rows += [(s, base), (10 + s, f"{base}\n" + f"{line}\n" * (20 if s % 2 else 80))]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3]
+
+
+def test_a_word_repeated_over_half_the_text_joins_nothing(spark):
+    rows = [(s, "same " * 400 + words(300, 90 + s)) for s in range(2)] + [(2, "- " * 400 + words(300, 92)), (3, "- " * 400 + words(300, 92) + " end")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2]
+
+
+def test_equal_codes_of_other_sets_are_compared():
+    codes = np.zeros((3, 3), np.uint64)
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 5000)]
+    assert simhash.compare(codes, 3, 44, sets, 0.8).label.tolist() == [0, 0, 2]
