@@ -53,6 +53,7 @@ NUMERIC = re.compile("|".join(p for _, p in PATTERNS))
 TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<a>{_word})(?: (?P<b>{_word}))?")
 NAMED = re.compile(rf"(?<!\w)(?P<a>{'|'.join(sorted({n for _, n in _gender}, key=len, reverse=True))}) (?P<b>{_word})")
 _hint = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api_?key|access_?key)")
+_token = re.compile(r"\w+")
 _name_hints = frozenset(TITLES) | {n for _, n in _gender}
 
 
@@ -80,7 +81,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 if kind == "phone" and not 7 <= len(canonical) <= 15 or kind == "card" and not 13 <= len(canonical) <= 19:
                     continue
             found.append((a, b, kind, canonical))
-    if not _name_hints.isdisjoint(text.replace(".", " ").split()):
+    if not _name_hints.isdisjoint(_token.findall(text)):  # names stand between characters that are no part of words, as tokens do
         for m in TITLED.finditer(text):
             gender, a, b = TITLES[m[1]], m["a"], m["b"]
             given, family = (a, b) if b else ("", a)

@@ -42,6 +42,12 @@ def test_entities():
     assert pii.detect("version 1.2.3.4.5 at 12:30, 2024-01-02, 3.5 of 100 and Paris in May") == []
 
 
+def test_names_that_touch_punctuation():
+    for text in ('The prize went to "Anna Weber".', "(Mr. Smith said)", "by:Emma Baker", "Carter/Mrs. Cooper", "[Иван Петров]", "«Dr» and—Karl Vogel"):
+        assert [k[:5] for *_, k, _ in pii.detect(text)] == ["name-"], text
+    assert len(pii.detect('The prize went to "Anna Weber" (Mr. Smith said).')) == 2
+
+
 def test_surrogates_keep_form_coreference_and_distinctness(spark):
     rows = [(1, TEXT), (2, f"{TEXT} twice {TEXT}"), (3, None), (4, ""), (5, "nothing here"), (5, "nothing here"), (None, "10.20.30.40 " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "7 AS kind", "8 AS told")
