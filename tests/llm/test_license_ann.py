@@ -78,9 +78,29 @@ def test_search_against_brute_force(spark):
     assert ann.search(df.where("vec_id = 1"), query=F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.0]), (20, [0.0, 3.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query=F.col("vec_id") % 20 == 0, k=20)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect())
+    assert got == sorted([(20, 1, 1, 1.0), (20, 2, 2, 0.5), (20, 3, 1, 0.0), (20, 4, 20, 0.0), (20, 1, 1, 3.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0), (20, 4, 20, 0.0)])
+
+
+def test_codes_choose_what_is_computed(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(6000, 32)) + 0.7
+    got = ann.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), query=F.col("vec_id") % 2000 == 0, k=10).collect()
+    want = set()
+    for q in (0, 2000, 4000):
+        score = np.where(np.arange(len(v)) == q, -np.inf, v @ v[q])
+        want |= {(q, k + 1, i) for k, i in enumerate(np.argsort(-score)[:10].tolist())}
+    assert {(x["query_id"], x["rank"], x["vec_id"]) for x in got} == want
+    assert all(x["n_exact"] < 0.2 * len(v) for x in got)
+
+
 def test_estimates_lie_within_their_bounds():
     r = np.random.default_rng(5)
-    v, q = r.normal(size=(3000, 100)) * r.uniform(0.1, 9, (3000, 1)), r.normal(size=100)
-    turn = ann.rotation(100)
-    value, bound = ann.Codes(v, turn).estimate(q / np.linalg.norm(q) @ turn)
-    assert (np.abs(value - v @ q / np.linalg.norm(q)) <= bound).mean() > 0.99
+    v, q = r.normal(size=(3000, 100)) * r.uniform(0.1, 9, (3000, 1)) + 2, r.normal(size=100)
+    turn, centre = ann.rotation(100), v.mean(0)
+    value, bound = ann.Codes(*ann.encode(v, centre, turn), ann.WIDEN * 100).estimate(q / np.linalg.norm(q) @ turn)
+    assert (np.abs(value - (v - centre) @ q / np.linalg.norm(q)) <= bound).mean() > 0.99
+    assert bound.mean() < 0.2 * np.linalg.norm(v - centre, axis=1).mean()
