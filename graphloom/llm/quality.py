@@ -1,12 +1,15 @@
 """Document quality from a linear-chain conditional random field over lines.
 
-Every line gets a vector of counts and shares; a place of the chain sees its own line's vector and
+Every line gets a vector of counts and shares of characters and words; a place of the chain sees its own line's vector and
 those of the lines before and after it.  The marginals of label 1 (good), averaged by the lines'
-lengths, are the document's quality.  All features come from one pass of vector operations over bytes.
+lengths, are the document's quality.  Documents carry the labels: a line has its document's label, unless its
+own features say the contrary, and the lines that keep the label are most of the document.  All
+features come from one pass of vector operations over code points.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,33 +20,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import as_bytes, slices, through_arrow
+from .common import as_text, slices, through_arrow
 from .labelled import sample
 
-# Classes of bytes.
-UPPER, LOWER, DIGIT, HIGH, STOP, MARK, SPACE = range(7)
-_kind = np.full(256, MARK, np.uint8)
-_kind[ord("A") : ord("Z") + 1], _kind[ord("a") : ord("z") + 1], _kind[ord("0") : ord("9") + 1] = UPPER, LOWER, DIGIT
-_kind[128:] = HIGH
-_kind[[ord(c) for c in ".,;:?'\"()-"]] = STOP  # marks of ordinary prose
-_kind[:33] = SPACE
+# Classes of code points.
+UPPER, LOWER, DIGIT, OTHER, STOP, MARK, SPACE = range(7)  # OTHER: letters without case
+PROSE = ".,;:?'\"()-«»“”‘’„¿¡–—。、，；：？「」"  # marks of ordinary prose
+
+
+def _class(c: str) -> int:
+    if c.isspace() or ord(c) < 33:
+        return SPACE
+    if c in PROSE:
+        return STOP
+    if c.isalpha():
+        return UPPER if c.isupper() else LOWER if c.islower() else OTHER
+    # Combining signs belong to the letters that they stand with.
+    return DIGIT if c.isdigit() else OTHER if unicodedata.combining(c) else MARK
+
+
+_kind = np.array([_class(chr(i)) for i in range(1 << 16)], np.uint8)
 WIDTH = 14
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row for each line, the bytes of each line with its end, and the lines of each text.
+def kinds(points: np.ndarray) -> np.ndarray:
+    """Class of each code point; beyond 16 bits the planes of ideographs are letters and the rest marks."""
+    out = _kind[np.minimum(points, 0xFFFF)]
+    high = points > 0xFFFF
+    if high.any():
+        out[high] = np.where(points[high] >= 0x20000, OTHER, MARK)
+    return out
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row for each line, the characters of each line with its end, and the lines of each text.
 
     Lines end at line feeds; a text has a line at least, maybe an empty one.
     """
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     end = np.flatnonzero(raw == 10)
     begin = np.concatenate([[0], end[:-1] + 1])
     size = end + 1 - begin
-    per = np.array([x.count(b"\n") + 1 for x in texts], np.int64)
-    kind = _kind[raw]
+    per = np.array([x.count("\n") + 1 for x in texts], np.int64)
+    kind = kinds(raw)
     total = lambda mask: np.add.reduceat(mask, begin, dtype=np.int64)
-    by = {k: total(kind == k) for k in (UPPER, LOWER, DIGIT, HIGH, STOP, MARK)}
-    letters = by[UPPER] + by[LOWER] + by[HIGH]
+    by = {k: total(kind == k) for k in (UPPER, LOWER, DIGIT, OTHER, STOP, MARK)}
+    letters = by[UPPER] + by[LOWER] + by[OTHER]
     seen = letters + by[DIGIT] + by[STOP] + by[MARK]
     blank = kind == SPACE
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
@@ -54,9 +76,9 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
         n, where = ends + 1 - starts, line_of[starts]
         count = lambda mask: np.bincount(where, mask, len(begin))
-        # A sum that equal words share wherever they stand: bytes weighted by their place in the word.
+        # A sum that equal words share wherever they stand: characters weighted by their place in the word.
         inside = np.arange(len(raw)) - np.maximum.accumulate(np.where(~blank & np.concatenate([[True], blank[:-1]]), np.arange(len(raw)), 0))
-        name = np.add.reduceat(np.where(blank, 0, raw * (inside * 31 + 7)), starts) * 64 + np.minimum(n, 63)
+        name = np.add.reduceat(np.where(blank, 0, raw.astype(np.int64) * (inside * 31 + 7)), starts) * 64 + np.minimum(n, 63)
         again = np.concatenate([[False], (name[1:] == name[:-1]) & (where[1:] == where[:-1])])
         words = count(np.ones(len(starts)))
         out[:, 0] = np.log1p(words)
@@ -95,7 +117,7 @@ class Model:
     weights: np.ndarray
     chain: crf.Chain
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's quality, each line's probability to be good, and the lines of each text."""
         x, size, per = line_features(texts)
         p = self.chain.marginals(((with_neighbours(x, per) - self.mean) / self.scale) @ self.weights, per)
@@ -103,8 +125,46 @@ class Model:
         return np.add.reduceat(p * size, begin) / np.add.reduceat(size, begin), p, per
 
 
-def fit(rows: pd.DataFrame, *, steps: int = 100) -> Model:
-    """From (text, label): label 1 is good, and every line has its document's label.
+def line_labels(x: np.ndarray, size: np.ndarray, per: np.ndarray, label: np.ndarray, weight: np.ndarray, *, steps: int, sure: float) -> np.ndarray:
+    """Labels of lines from those of documents.
+
+    A logistic regression on each line's own features, fitted to the documents' labels, turns a line that it
+    is ``sure`` of the contrary of, most sure ones first, as long as more than half of the document's characters keep its label.
+    """
+    y = np.repeat(label, per)
+    by = np.repeat(weight, per)
+    # Lines of documents weigh by their share of the document, so that long documents do not decide alone.
+    by = by * size / np.repeat(np.add.reduceat(size, np.cumsum(per) - per), per)
+    a, w, adam = np.hstack([np.ones((len(x), 1)), x]), np.zeros(x.shape[1] + 1), crf.Adam(0.1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -crf.CLIP, crf.CLIP)))
+        w = adam.step(w=(w, (by * (y - p)) @ a / by.sum() - 1e-3 * w))["w"]
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -crf.CLIP, crf.CLIP)))
+    against = np.where(y == 1, 1 - p, p)
+    owner = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((-against, owner))
+    taken = np.cumsum(size[order])
+    begin = np.cumsum(per) - per
+    taken -= np.repeat(taken[begin] - size[order][begin], per)  # characters of the document's lines up to this one
+    turn = (against[order] >= sure) & (2 * taken < np.repeat(np.add.reduceat(size, begin), per))
+    y[order[turn]] = 1 - y[order[turn]]
+    return y
+
+
+def spliced(per: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines, and lines in each chain, of a chain for each document of the more frequent label: the first half of a good document, a bad one, the other half."""
+    begin, (bad, good) = np.cumsum(per) - per, (np.flatnonzero(label == y) for y in (0, 1))
+    out, size = [np.zeros(0, np.int64)], []
+    for i in range(max(len(bad), len(good)) if len(bad) and len(good) else 0):
+        a, b = good[i % len(good)], bad[i % len(bad)]
+        middle = begin[a] + (per[a] + 1) // 2
+        out += [np.arange(begin[a], middle), np.arange(begin[b], begin[b] + per[b]), np.arange(middle, begin[a] + per[a])]
+        size.append(per[a] + per[b])
+    return np.concatenate(out), np.array(size, np.int64)
+
+
+def fit(rows: pd.DataFrame, *, steps: int = 100, sure: float = 0.9) -> Model:
+    """From (text, label): label 1 is good.
 
     The rarer label weighs as much as the other.  Without rows the model scores every text 0.5.
     """
@@ -112,21 +172,27 @@ def fit(rows: pd.DataFrame, *, steps: int = 100) -> Model:
     flat = Model(np.zeros(width), np.ones(width), np.zeros(width), crf.Chain())
     if not len(rows):
         return flat
-    x, _, per = line_features([t.encode() for t in rows["text"]])
+    x, size, per = line_features(rows["text"].tolist())
+    y = rows["label"].to_numpy(np.int64)
+    n = np.bincount(y, minlength=2)
+    weight = np.where(y == 1, len(y) / max(2 * n[1], 1), len(y) / max(2 * n[0], 1))
+    own = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    lines = line_labels(own, size, per, y, weight, steps=steps, sure=sure)
+    # Documents of one kind cannot teach that a line may differ from those beside it, so good ones with a bad one inside are fitted as well.
+    at, mixed = spliced(per, y)
+    weight = np.concatenate([weight, np.ones(len(mixed))])
+    lines, per, x = np.concatenate([lines, lines[at]]), np.concatenate([per, mixed]), np.vstack([x, x[at]])
     x = with_neighbours(x, per)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     mean[0], scale[0] = 0, 1
     x = (x - mean) / scale
-    y = rows["label"].to_numpy(np.int64)
-    n = np.bincount(y, minlength=2)
-    weight = np.where(y == 1, len(y) / max(2 * n[1], 1), len(y) / max(2 * n[0], 1))
-    weights, chain = crf.fit(lambda w: x @ w, lambda rest: rest @ x, np.zeros(width), np.repeat(y, per), per, steps=steps, rate=0.1, l2=1e-3, weight=weight)
+    weights, chain = crf.fit(lambda w: x @ w, lambda rest: rest @ x, np.zeros(width), lines, per, steps=steps, rate=0.1, l2=1e-3, weight=weight)
     return Model(mean, scale, weights, chain)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, per_class: tuple[int, int] = (1000, 1000), most_chars: int = 12_000) -> Model:
-    """Fits on at most sum(per_class) labelled documents of at most most_chars characters (labelled.sample)."""
-    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class, most_chars=most_chars))
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, per_class: tuple[int, int] = (1000, 1000)) -> Model:
+    """Fits on whole texts of at most per_class[0] bad and per_class[1] good labelled documents (labelled.sample)."""
+    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class))
 
 
 def classify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -138,8 +204,8 @@ def classify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     shared = df.sparkSession.sparkContext.broadcast(model)  # some dozens of weights
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            score, p, per = shared.value.scores(as_bytes(b.column("text")))
+        for b in slices(batches, limit=2 << 20):
+            score, p, per = shared.value.scores(as_text(b.column("text")))
             begin = np.cumsum(per) - per
             bad = np.flatnonzero(p < 1 - least)
             owner = np.searchsorted(begin, bad, side="right") - 1

@@ -1,15 +1,16 @@
 """Toxic spans by a linear-chain conditional random field over tokens; one chain for each line.
 
-Document labels become token labels first: in a toxic document, a token is labelled toxic if it has a
-feature (itself or one of its prefixes) that toxic documents have far more often than clean ones.
-The field is fitted on those token labels; its forward-backward marginals give each token's
-probability, from which the document's score and the offending offsets follow.
+A token's features are its form, its beginnings, its ending and its shape; a place of the chain sees
+the features of its own token and of the tokens before and after it.  Documents carry the labels, so
+token labels are derived first: in a toxic document a token is labelled toxic if one of its forms or
+beginnings occurs in toxic documents far more often than chance allows.  The field is fitted on all
+sampled documents, where the same forms in clean documents are labelled clean; its forward-backward marginals
+give each token's probability, from which the document's score and the offending offsets follow.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,72 +24,93 @@ from . import crf
 from .common import as_text, slices, through_arrow
 from .labelled import sample
 
-PREFIXES = (7, 6, 5, 4)
-PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’¡¿…*_-"
+PREFIXES = (3, 4, 5, 6, 7)
+PUNCTUATION = ".,;:?!\"'()[]{}<>«»„“”‘’¡¿…*_-"
 #: Token types that a worker remembers before it starts afresh.
 REMEMBERED = 150_000
+#: Tokens of a chain while the field is fitted; longer lines are several chains there, and one when they are tagged.
+FITTED = 200
+#: Weights below this are no part of a model.
+LEAST_WEIGHT = 0.01
 
 
-def token_features(token: str) -> list[str]:
-    """The lower-cased token without punctuation at its ends, and then its shorter prefixes, longest first."""
+def token_features(token: str) -> tuple[list[str], list[str]]:
+    """What can tell a token on its own (its form in lower case without punctuation at its ends, and its beginnings), and its ending and shape."""
     t = token.strip(PUNCTUATION).lower()
-    return ["=" + t, *("^" + t[:k] for k in PREFIXES if len(t) > k)] if t else []
+    if not t:
+        return [], ["#mark"]
+    telling = ["=" + t, *("^" + t[:k] for k in PREFIXES if len(t) > k)]
+    shape = ["#short" if len(t) < 4 else "#middle" if len(t) < 9 else "#long"]
+    if len(t) > 3:
+        shape.append("$" + t[-3:])
+    if token.isupper() and len(t) > 1:
+        shape.append("#upper")
+    elif token[:1].isupper():
+        shape.append("#title")
+    if not t.isalpha():
+        shape.append("#mixed")
+    if token[-1] in PUNCTUATION:
+        shape.append("#end" + token[-1])
+    return telling, shape
 
 
 @dataclass
 class Model:
-    """weight: of a token's own feature; beside: of a neighbour's; a token has the longest of its telling features."""
+    """weights: from a feature to its weights for its own token, for the token after it and for the token before it."""
 
-    index: dict[str, int]
-    weights: np.ndarray  # bias, then own, then of the token before, then of the token after
+    weights: dict[str, tuple[float, float, float]]
+    bias: float
     chain: crf.Chain
     final: np.ndarray  # bias, weight of log(1 + expected toxic tokens), weight of the largest marginal
 
 
 class Types(dict):
-    """From a token to the number of its longest telling feature, 0 if it has none."""
+    """From a token as written to its number; scores[number] are the sums of its features' weights."""
 
-    def __init__(self, index: dict[str, int]) -> None:
-        self.index = index
+    def __init__(self, weights: dict[str, tuple[float, float, float]]) -> None:
+        self.weights, self.sums = weights, []
 
     def __missing__(self, token: str) -> int:
-        t = token.strip(PUNCTUATION).lower()
-        get = self.index.get
-        at = get("=" + t, 0)
-        if not at and len(t) > PREFIXES[-1]:
-            for k in PREFIXES:  # as token_features() has them
-                if at := get("^" + t[:k], 0) if len(t) > k else 0:
-                    break
+        own = after = before = 0.0
+        get = self.weights.get
+        for part in token_features(token):
+            for f in part:
+                if w := get(f):
+                    own, after, before = own + w[0], after + w[1], before + w[2]
+        self[token] = n = len(self.sums)
+        self.sums.append((own, after, before))
+        return n
+
+    def scores(self) -> np.ndarray:
+        return np.array(self.sums).reshape(-1, 3).T
+
+    def tidy(self) -> None:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[token] = at
-        return at
+            self.sums.clear()
 
 
-def _chains(texts: list[str], types: Types) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature number of each token, tokens in each chain (line), chains in each text."""
+def _chains(texts: Iterable[str], number) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """number(token) of each token, tokens in each chain (line), tokens in each text."""
     flat: list[int] = []
     size, per = [], []
-    get = types.__getitem__
     for text in texts:
-        n = 0
+        start = len(flat)
         for line in text.split("\n"):
             if words := line.split():
-                flat.extend(map(get, words))
+                flat.extend(map(number, words))
                 size.append(len(words))
-                n += 1
-        per.append(n)
+        per.append(len(flat) - start)
     return np.array(flat, np.int64), np.array(size, np.int64), np.array(per, np.int64)
 
 
-def _score(x: np.ndarray, begin: np.ndarray, w: np.ndarray) -> np.ndarray:
-    k = (len(w) - 1) // 3
-    own, before, after = (np.concatenate([[0.0], w[1 + i * k : 1 + (i + 1) * k]]) for i in range(3))
-    s = w[0] + own[x]
+def _score(x: np.ndarray, begin: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of each token: its own score, what the token before gives to the one after it, and the other way."""
+    s = own[x]
     if len(x) > 1:
-        left = before[x[:-1]]
+        left = after[x[:-1]]
         left[begin[1:] - 1] = 0
-        right = after[x[1:]]
+        right = before[x[1:]]
         right[begin[1:] - 1] = 0
         s[1:] += left
         s[:-1] += right
@@ -117,73 +139,139 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(rows: pd.DataFrame, *, least_docs: int = 4, least_share: float = 0.008, least_ratio: float = 25.0, steps: int = 40) -> Model:
+def _tail(k: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """Bound of the chance that at least k of n draws of probability ``share`` succeed (Chernoff's); 1 where k is no more than expected."""
+    q = k / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(k > 0, k * np.log(q / share), 0) + np.where(n > k, (n - k) * np.log((1 - q) / (1 - share)), 0)
+    return np.where(q > share, np.exp(-kl), 1.0)
+
+
+class _Sample:
+    """Token types of the sampled texts, the features of each type, and in how many documents of each label a feature is."""
+
+    def __init__(self, texts: list[str], label: np.ndarray) -> None:
+        types: dict[str, int] = {}
+        self.x, size, self.tokens = _chains(texts, lambda w: types.setdefault(w, len(types)))
+        pieces = -(-size // FITTED)
+        last = np.cumsum(pieces) - 1
+        self.size = np.full(pieces.sum(), FITTED)
+        self.size[last] = size - FITTED * (pieces - 1)
+        self.begin = np.cumsum(self.size) - self.size
+        names: dict[str, int] = {}
+        entries, telling, count = [], [], []
+        for w in types:
+            a, b = token_features(w)
+            entries += [names.setdefault(f, len(names)) for f in (*a, *b)]
+            telling += [True] * len(a) + [False] * len(b)
+            count.append(len(a) + len(b))
+        self.names, self.entry, self.telling = list(names), np.array(entries, np.int64), np.array(telling, bool)
+        self.of_type = np.repeat(np.arange(len(types)), count)
+        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        self.label, self.types = label, len(types)
+        self.docs = np.zeros((2, len(names)), np.int64)
+        ends = np.cumsum(self.tokens)
+        for a, b, y in zip((ends - self.tokens).tolist(), ends.tolist(), label.tolist()):
+            if b > a:
+                held = np.unique(self.x[a:b])
+                self.docs[y, np.unique(self.entry[self._entries(held)])] += 1
+
+    def _entries(self, types: np.ndarray) -> np.ndarray:
+        n = self.first[types + 1] - self.first[types]
+        return np.repeat(self.first[types] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def telling_features(self, least_docs: int, chance: float) -> np.ndarray:
+        """Features that chance would put into so many toxic documents at most ``chance`` times over all features of that frequency.
+
+        What counts is the number of documents, or of different pairs of neighbours if that is less: copies of a document repeat its words with their neighbours.
+        """
+        can = np.zeros(len(self.names), bool)
+        can[self.entry[self.telling]] = True
+        # Of toxic tokens with a feature: (feature, token before, token after), each once.
+        toxic = np.flatnonzero(np.repeat(self.label, self.tokens) == 1)
+        pad = np.concatenate([[-1], self.x, [-1]])
+        can &= self.docs[1] >= least_docs
+        around = np.zeros(len(self.names), np.int64)
+        held, where = np.unique(np.stack([self.x[toxic], pad[toxic], pad[toxic + 2]]), axis=1, return_index=True)
+        at = self._entries(held[0])
+        place = np.repeat(np.arange(held.shape[1]), self.first[held[0] + 1] - self.first[held[0]])
+        use = can[self.entry[at]]
+        at, place = at[use], place[use]
+        pair = held[1][place] * (self.types + 1) + held[2][place]
+        key = np.unique(np.stack([self.entry[at], pair]), axis=1)[0]
+        np.add.at(around, key, 1)
+        k = np.minimum(self.docs[1], around)
+        n = k + self.docs[0]
+        tested = np.sort(n[n >= least_docs])
+        rivals = len(tested) - np.searchsorted(tested, n)
+        share = float(self.label.mean())
+        return can & (k >= least_docs) & (_tail(k, n, share) * rivals <= chance) & (k * (1 - share) >= 4 * self.docs[0] * share)
+
+
+def fit(rows: pd.DataFrame, *, least_docs: int = 4, chance: float = 0.1, steps: int = 40) -> Model:
     """From (text, label): label 1 is toxic.
 
-    A telling feature occurs in least_docs toxic documents and in least_share of them, between as many
-    different pairs of neighbours, and least_ratio times as often as in clean documents.  Without rows of both labels, or without telling features, the model scores every text 0.
+    A telling feature occurs in least_docs toxic documents, between as many different pairs of neighbours, and
+    more often than chance makes any feature of its frequency.  Without rows of both labels, or without telling features, the model scores every text 0.
     """
-    empty = Model({}, np.full(1, -crf.CLIP), crf.Chain(), np.array([-crf.CLIP, 0.0, 0.0]))
-    n1 = int((rows["label"] == 1).sum()) if len(rows) else 0
-    n0 = len(rows) - n1
-    if not n0 or not n1:
+    empty = Model({}, -crf.CLIP, crf.Chain(), np.array([-crf.CLIP, 0.0, 0.0]))
+    y = rows["label"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
+    if len(np.unique(y)) < 2:
         return empty
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y in zip(rows["text"], rows["label"]):
-        seen[y].update({f for w in set(text.split()) for f in token_features(w)})
-    strong = [f for f, c in seen[1].items() if c >= max(least_docs, least_share * n1) and (c + 0.5) / n1 >= least_ratio * (seen[0][f] + 0.5) / n0]
-    # Copies of a document repeat its words with their neighbours, so neighbours must vary as well.
-    around: dict[str, set] = {f: set() for f in strong}
-    for text in rows["text"][rows["label"] == 1]:
-        words = text.split()
-        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-            for f in token_features(w):
-                if f in around:
-                    around[f].add((before, after))
-    chosen = {f for f in strong if len(around[f]) >= max(least_docs, least_share * n1)}
-    index = {f: i + 1 for i, f in enumerate(sorted(chosen))}
-    if not index:
+    s = _Sample(rows["text"].tolist(), y)
+    strong = s.telling_features(least_docs, chance)
+    if not strong.any():
         return empty
-    types = Types(index)
-    # Clean documents beyond the number of toxic ones only served the counts.
-    rows = pd.concat([rows[rows["label"] == 1], rows[rows["label"] == 0].head(max(n1, 200))])
-    texts = rows["text"].tolist()
-    x, size, per = _chains(texts, types)
-    begin = np.cumsum(size) - size
-    tokens = np.add.reduceat(np.append(size, 0), np.cumsum(per) - per) * (per > 0)
-    label = ((x > 0) & np.repeat(rows["label"].to_numpy() == 1, tokens)).astype(np.int64)
-    k = len(index)
-    inside = np.ones(len(x), bool)
-    inside[begin] = False  # a token with one before it in its chain
+    told = np.zeros(s.types, bool)
+    told[s.of_type[strong[s.entry]]] = True
+    label = (told[s.x] & (np.repeat(y, s.tokens) == 1)).astype(np.int64)
+    # Rare features could only learn single documents by heart.
+    number = np.full(len(s.names), -1)
+    kept = np.flatnonzero(s.docs.sum(0) >= least_docs)
+    number[kept] = np.arange(len(kept))
+    use = number[s.entry] >= 0
+    entry, of_type, k = number[s.entry[use]], s.of_type[use], len(kept)
+    inside = np.ones(len(s.x), bool)
+    inside[s.begin] = False  # a token with one before it in its chain
+
+    def emit(w: np.ndarray) -> np.ndarray:
+        own, after, before = (np.bincount(of_type, w[1 + i * k : 1 + (i + 1) * k][entry], s.types) for i in range(3))
+        return w[0] + _score(s.x, s.begin, own, after, before)
 
     def absorb(rest: np.ndarray) -> np.ndarray:
-        own = np.bincount(x, rest, k + 1)
-        left = np.bincount(x[:-1], rest[1:] * inside[1:], k + 1)
-        right = np.bincount(x[1:], rest[:-1] * inside[1:], k + 1)
-        return np.concatenate([[rest.sum()], own[1:], left[1:], right[1:]])
+        own = np.bincount(s.x, rest, s.types)
+        after = np.bincount(s.x[:-1], rest[1:] * inside[1:], s.types)
+        before = np.bincount(s.x[1:], rest[:-1] * inside[1:], s.types)
+        return np.concatenate([[rest.sum()], *(np.bincount(entry, v[of_type], k) for v in (own, after, before))])
 
-    start = np.concatenate([[-4.0], np.full(k, 6.0), np.zeros(2 * k)])
-    weights, chain = crf.fit(lambda w: _score(x, begin, w), absorb, start, label, size, steps=steps, l2=1e-6)
-    p = chain.marginals(_score(x, begin, weights), size)
-    return Model(index, weights, chain, _logistic(_summary(p, tokens), rows["label"].to_numpy()))
+    start = np.zeros(1 + 3 * k)
+    start[0] = -4.0
+    start[1 + number[strong]] = 2.0
+    w, chain = crf.fit(emit, absorb, start, label, s.size, steps=steps, l2=1e-6)
+    p = chain.marginals(emit(w), s.size)
+    parts = w[1:].reshape(3, k).T
+    heavy = np.flatnonzero(np.abs(parts).max(1) >= LEAST_WEIGHT)
+    weights = {s.names[kept[i]]: tuple(parts[i].tolist()) for i in heavy.tolist()}
+    return Model(weights, float(w[0]), chain, _logistic(_summary(p, s.tokens), y))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: tuple[int, int] = (4000, 1000), most_chars: int = 6_000) -> Model:
-    """Fits on at most sum(per_class) labelled documents of at most most_chars characters (labelled.sample)."""
-    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class, most_chars=most_chars))
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: tuple[int, int] = (4000, 1000)) -> Model:
+    """Fits on whole texts of at most per_class[0] clean and per_class[1] toxic labelled documents (labelled.sample)."""
+    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class))
 
 
 class Tagger:
     def __init__(self, model: Model) -> None:
-        self.model, self.types = model, Types(model.index)
+        self.model, self.types = model, Types(model.weights)
 
     def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each token's probability to be toxic, and the tokens of each text."""
-        x, size, per = _chains(texts, self.types)
+        self.types.tidy()
+        x, size, tokens = _chains(texts, self.types.__getitem__)
         if not len(x):
             return np.zeros(0), np.zeros(len(texts), np.int64)
-        tokens = np.add.reduceat(np.append(size, 0), np.cumsum(per) - per) * (per > 0)
-        return self.model.chain.marginals(_score(x, np.cumsum(size) - size, self.model.weights), size), tokens
+        score = self.model.bias + _score(x, np.cumsum(size) - size, *self.types.scores())
+        return self.model.chain.marginals(score, size), tokens
 
     def scores(self, p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         z = self.model.final[0] + _summary(p, tokens) @ self.model.final[1:]
@@ -203,7 +291,7 @@ def tag(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str =
     A null or blank text has no tokens and gets the score of an expectation of none.  Repeated rows
     give repeated rows; other columns are ignored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a few thousand weights at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # weights of the features of a bounded sample
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
@@ -215,9 +303,7 @@ def tag(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str =
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tagger.scores(p, tokens)), pa.array(found, kind)], ["doc_id", "score", "spans"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, 
-        run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
-    )
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
 def keep_clean(df: DataFrame, model: Model, *, text_col: str = "text", most: float = 0.5) -> DataFrame:

@@ -42,7 +42,10 @@ def test_held_out_accuracy(spark, name, label, folds, fold):
     assert sorted(got["doc_id"]) == sorted(docs["doc_id"]) and got["score"].between(0, 1).all()
     assert got["held_out"].tolist() == held(got["doc_id"], folds, fold)
     both = got[got["held_out"]].merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
-    assert len(both) > 300 and (both["predicted"] == both[label]).mean() > 0.97
+    assert len(both) > 300
+    rare = int(label == "toxic")  # the label that is hard to find
+    hit = ((both["predicted"] == rare) & (both[label] == rare)).sum()
+    assert hit / (both[label] == rare).sum() > 0.9 and hit / (both["predicted"] == rare).sum() > 0.95
 
 
 def test_toxic_spans(spark):
@@ -56,6 +59,26 @@ def test_toxic_spans(spark):
     assert sorted(r["doc_id"] for r in kept) == [2, 3, 4, 4]
 
 
+def test_tags_are_no_lookup():
+    """A token's probability depends on the tokens beside it, and forms that were never seen follow from their parts."""
+    r = np.random.default_rng(0)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 5))
+    rows = [(" ".join(word() for _ in range(12)), 0) for _ in range(300)]
+    rows += [(" ".join([*(word() for _ in range(5)), "you", f"vilest{word()}", *(word() for _ in range(5))]), 1) for _ in range(80)]
+    tagger = toxicity.Tagger(toxicity.fit(pd.DataFrame(rows, columns=["text", "label"])))
+    p, _ = tagger.marginals(["abcde you vilestzzz abcde", "abcde fghab vilestzzz abcde", "abcde you abcde"])
+    assert p[2] > p[6] > 0.5 and p[2] > 0.9 and p[8:].max() < 0.5
+    s = toxicity._Sample([t for t, _ in rows], np.array([y for _, y in rows]))
+    told = {s.names[i] for i in np.flatnonzero(s.telling_features(4, 0.1))}
+    assert "^vilest" in told and all(f[1:].startswith("vil") or f == "=you" for f in told), told
+
+
+def test_copies_of_a_document_tell_nothing():
+    rows = [(f"plain words {i} go on here {i + 1} and some more", 0) for i in range(60)] + [("the same strange text in all copies", 1)] * 40
+    model = toxicity.fit(pd.DataFrame(rows, columns=["text", "label"]))
+    assert not model.weights
+
+
 def test_models_without_rows(spark):
     none = pd.DataFrame({"text": [], "label": []})
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
@@ -67,7 +90,7 @@ def test_models_without_rows(spark):
 
 
 def test_line_features_and_lines(spark):
-    x, size, per = quality.line_features([b"one two two\n\nTHREE!!", b""])
+    x, size, per = quality.line_features(["one two two\n\nTHREE!!", ""])
     assert per.tolist() == [3, 1] and size.tolist() == [12, 1, 8, 1]
     assert x[0, 2] == pytest.approx(1 / 3) and x[1, 13] == 1 and x[2, 7] == 1
     good = [("Some words stand in this line, and more follow it.\nA second line is as good.", 1)] * 30
@@ -76,3 +99,22 @@ def test_line_features_and_lines(spark):
     df = spark.createDataFrame([(1, good[0][0]), (2, bad[0][0]), (3, "x" * 300_000), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in quality.classify(df, model).collect()}
     assert got[1]["score"] > 0.7 > got[2]["score"] and got[2]["bad_lines"] == [0, 1] and got[1]["n_lines"] == 2
+    mixed = f"{good[0][0]}\n{bad[0][0]}\n{good[0][0]}"
+    assert quality.classify(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).first()["bad_lines"] == [2, 3]
+
+
+def test_characters_count_in_any_script():
+    latin, cyrillic, han = "Plain words, some more.", "Обычн слова, ещё длинн.", "一些普通的文字，还有更多。"
+    x, size, _ = quality.line_features([latin, cyrillic, han])
+    assert size.tolist() == [len(t) + 1 for t in (latin, cyrillic, han)]
+    assert np.allclose(x[0, [1, 6, 11]], x[1, [1, 6, 11]], atol=0.1) and x[2, 10] == 0
+    assert quality.line_features(["\ud800 😀 𠀀", "a\u0301"])[0].shape == (2, quality.WIDTH)
+
+
+def test_lines_of_the_other_label_turn():
+    size, per = np.array([50, 50, 10] * 20 + [60, 50] * 20), np.array([3] * 20 + [2] * 20)
+    x = np.array([[1.0], [1.0], [-1.0]] * 20 + [[-1.0], [-1.0]] * 20)
+    y = quality.line_labels(x, size, per, np.array([1] * 20 + [0] * 20), np.ones(40), steps=100, sure=0.8)
+    assert y.tolist() == [1, 1, 0] * 20 + [0, 0] * 20
+    at, chains = quality.spliced(np.array([2, 3, 1]), np.array([1, 0, 1]))
+    assert at.tolist() == [0, 2, 3, 4, 1, 5, 2, 3, 4] and chains.tolist() == [5, 4]
