@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
+#: Edges of a node beyond which they are dealt over several keys.
+HOT = 100_000
+
+
+def _nearest(edges: DataFrame, hot: int) -> DataFrame:
     """(u, v, m): each neighbour v of u with the least m of u and all its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.floor(F.count(F.lit(1)) / hot).alias("more"))
+    many = least.where("more > 0").select("u", F.col("more").alias("salts"))  # one row for every ``hot`` edges at most
+    salted = edges.join(F.broadcast(many), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(0)) + 1).alias("salt"))
+    spread = least.select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), "more")).alias("salt"))
+    return salted.join(spread, ["u", "salt"]).drop("salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """From undirected edges (u, v), longs without nulls, to (node, component).
 
     component is the least node that can be reached.  Loops and repeated edges change nothing; a node
-    of loops alone has no row.  No edges: no rows.  Keys are only ever reduced by min(), so that a
-    node with very many neighbours is aggregated before it is shuffled.
+    of loops alone has no row.  No edges: no rows.  The least neighbour is found by min(), which is
+    aggregated before the shuffle; a node of more than ``hot`` edges meets it under several keys.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = _nearest(large)
+        large = _nearest(both, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = _nearest(large, hot)
         small = down.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = cut(small.where("u <> v").distinct())
         # A star forest with its least node in every centre is a fixed point.

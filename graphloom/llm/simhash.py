@@ -25,15 +25,12 @@ from .common import as_bytes, cut, slices, through_arrow
 from .components import components
 from .xxh import xxh64_spans
 
-#: Most fingerprints in a tile; a pair of tiles is what one task holds (16 bytes each and up).
-TILE = 49152
-#: Shingle hashes in a sketch, by which pairs of long texts that are far from similar are passed over.
-SKETCH = 128
+#: Most fingerprints in a tile; a pair of tiles is what one task holds (16 bytes each and up).  Tiles are smaller where there are cores for more, down to LEAST_TILE.
+TILE, LEAST_TILE = 49_152, 2_048
 #: Most bytes of shingle sets in a tile of candidates.
 SET_BYTES = 16 << 20
 #: Most candidates whose ids are sent to all workers; the texts of more are found by a join.
 MOST_SENT = 1_000_000
-NONE = np.uint32(0xFFFFFFFF)
 GOLDEN = 0x9E3779B97F4A7C15
 LANES = np.uint64(0x0101010101010101)
 
@@ -141,39 +138,10 @@ class Forest:
         self.label = to[label]
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of the sets behind each pair of sketches, rows padded with NONE.
-
-    Exact if both sets are smaller than a sketch, else estimated from the least SKETCH of their union.
-    """
-    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    real = both != NONE
-    twice = np.zeros(both.shape, bool)
-    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    place = np.cumsum(real & ~twice, axis=1)
-    whole = (a[:, -1] == NONE) & (b[:, -1] == NONE)
-    n = np.where(whole, place[:, -1], np.minimum(place[:, -1], SKETCH))
-    return (twice & (place <= n[:, None])).sum(1) / np.maximum(n, 1)
-
-
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """The least SKETCH of each ascending set, high halves only, rows padded with NONE."""
-    out = np.full((len(sets), SKETCH), NONE)
-    for row, x in zip(out, sets):
-        row[: min(len(x), SKETCH)] = x[:SKETCH] >> np.uint64(32)
-    return out
-
-
 def reach(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Whether the Jaccard similarity of each pair of ascending sets reaches ``similarity``, by all their elements.
-
-    Sketches only spare pairs of long sets that they put at least six deviations below it.
-    """
+    """Whether the Jaccard similarity of each pair of ascending sets reaches ``similarity``, by all their elements."""
     size = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64).reshape(2, -1)
     ok = (size.min(0) > 0) & (size.min(0) / np.maximum(size.max(0), 1) >= similarity)
-    if len(long := np.flatnonzero(ok & (size.min(0) > 16 * SKETCH))):
-        far = similarity - 6 * (similarity * (1 - similarity) / SKETCH) ** 0.5
-        ok[long] = similar(sketches([a[i] for i in long]), sketches([b[i] for i in long])) >= far
     for i in np.flatnonzero(ok).tolist():
         both = np.concatenate([a[i], b[i]])
         both.sort()
@@ -246,6 +214,8 @@ def links(codes: DataFrame, *, radius: int, tile: int = TILE) -> DataFrame:
     band = max(1, (radius + 1) // 2)  # of population counts
     codes = codes.withColumn("band", F.floor(F.col("pop") / band).cast("int"))
     counted = {r["band"]: r["count"] for r in codes.groupBy("band").count().collect()}  # at most 64 * width + 1 rows
+    cores = codes.sparkSession.sparkContext.defaultParallelism
+    tile = min(tile, max(LEAST_TILE, -(-sum(counted.values()) // (4 * cores))))
     if not counted:
         return codes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
     far = (radius - 1) // band + 1  # the gap between bands that are d apart is band * (d - 1) + 1
@@ -317,7 +287,7 @@ def near_duplicates(
     )
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, width: int = 3, radius: int = 44, similarity: float | None = 0.8, tile: int = TILE) -> DataFrame:
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, width: int = 4, radius: int = 72, similarity: float | None = 0.8, tile: int = TILE) -> DataFrame:
     """The rows of df, all columns as they are, but of each component only that of the least id.
 
     Rows without id stay.  Of rows that repeat an id one stays.

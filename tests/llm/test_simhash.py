@@ -82,19 +82,11 @@ def test_links_keep_the_components_of_a_large_group(spark):
     assert {i: got.get(i, i) for i in range(len(rows))} == want
 
 
-def test_sketches_estimate_similarity():
-    def sketch(s):
-        out = np.full((1, simhash.SKETCH), simhash.NONE)
-        x = np.array(sorted(s)[: simhash.SKETCH], np.uint32)
-        out[0, : len(x)] = x
-        return out
-
-    r = random.Random(1)
-    assert simhash.similar(sketch({1, 2, 3, 4}), sketch({2, 3, 4, 5}))[0] == pytest.approx(0.6)
-    a = {r.randrange(2**31) for _ in range(2000)}
-    b = set(list(a)[:1800]) | {r.randrange(2**31) for _ in range(200)}
-    assert abs(simhash.similar(sketch(a), sketch(b))[0] - len(a & b) / len(a | b)) < 0.12
-    assert simhash.similar(sketch(set()), sketch(set()))[0] == 0
+def test_hot_nodes_are_dealt_over_keys(spark):
+    edges = [(0, i) for i in range(1, 60)] + [(59, 60), (60, 61), (100, 101), (7, 7)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r["node"]: r["component"] for r in components(df, hot=5).collect()}
+    assert got == {**dict.fromkeys(range(62), 0), 100: 100, 101: 100}
 
 
 def test_keep_one_takes_near_copies_and_leaves_others(spark):
