@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 of its 5-word shingles."""
-    return simhash.keep_one(docs, words=5, width=3, radius=44, similarity=0.8)
+    return simhash.keep_one(docs, words=5, width=4, radius=72, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
