@@ -32,6 +32,52 @@ def test_furniture_goes_and_short_lines_stay():
     ]
 
 
+LONG = "This long sentence of the article has many words, so that its line has much text and few tags."
+
+
+def test_furniture_inside_articles():
+    page = (
+        f"<article class=post><header class='entry-header'><h1>Head</h1></header><p>{LONG}</p><p class=ad>Buy this now.</p><p>Text <button>Press here</button> goes <span class='share-buttons'>Share</span>on.</p>"
+        f"<div class=promotion-history><p>How she was promoted: {LONG}</p></div><p>Short.<ul><li>One<li>Two</ul><form><p>Name</p></form><div class='post-comments'><p>I say: {LONG}</p></div></article>"
+        f"<article class=comment><p>No, {LONG}</p></article>"
+    )
+    assert html_text.extract(page).split("\n") == ["Head", LONG, "Text goes on.", f"How she was promoted: {LONG}", "Short.", "One", "Two"]
+
+
+def test_declarations_do_not_empty_pages():
+    body = f"<div class=sidebar><p>About us and others.</p></div><h1>Head</h1><p>{LONG}</p><p>And {LONG}</p>"
+    want = ["Head", LONG, f"And {LONG}"]
+    for open_, close in (("<form id=aspnetForm>", "</form>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div class='content-form'>", "</div>"), ("<div id=header><form>", "</form></div>")):
+        assert html_text.extract(f"<body>{open_}{body}{close}<footer>Us</footer></body>").split("\n") == want, open_
+    assert html_text.extract(f"<nav>{LONG}</nav><script>var x = '{LONG}'</script>") == ""
+
+
+SOUP = (
+    "<html><body><div class=x1><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three</a></div><div class=x2><a href=4>Four and more</a><br><a href=5>Five and more</a></div>"
+    f"<div class=x3><h1>The head</h1></div><div class=x4><p>{LONG}</p><p>Short.</p><div class=x5>A caption</div><p>Then {LONG}</p></div><div class=x6><p>At last {LONG}</p></div>"
+    "<div class=x7><a href=6>Six</a> <a href=7>Seven</a> <a href=8>Eight</a></div><div class=x8>By us</div></body></html>"
+)
+
+
+def test_ratios_choose_where_markup_says_nothing():
+    want = ["The head", LONG, "Short.", "A caption", f"Then {LONG}", f"At last {LONG}"]
+    assert html_text.extract(SOUP).split("\n") == want
+    assert html_text.extract(SOUP, cut=lambda level: 0.0) != html_text.extract(SOUP) != html_text.extract(SOUP, cut=lambda level: level.max())
+    cells = SOUP.replace("<div", "<table><tr><td").replace("</div>", "</td></tr></table>").replace("</td></tr></table><p>Then", "</td></tr></table><p>Then")
+    assert LONG in html_text.extract(cells) and "Seven" not in html_text.extract(cells)
+    main = f"<main><p>{LONG}</p><p>Short.</p></main><div>By us</div>"
+    assert html_text.extract(main).split("\n") == [LONG, "Short."]
+    both = f"<main><h1>Head</h1><article><p>{LONG}</p></article><div><p>Read also</p></div></main>"
+    assert html_text.extract(both).split("\n") == [LONG]
+
+
+def test_deep_and_broken_pages():
+    assert html_text.extract("<div class=ad>" * 3000 + "x").strip() in ("", "x")
+    assert html_text.extract("<b>" * 20_000 + "deep") == "deep"
+    assert html_text.extract("</p></div><p>a<p>b") == "a\nb"
+    assert html_text.extract("<b>" * 20_000 + "<p>a</i>" * 20_000).count("a") == 20_000
+
+
 def test_html_edge_cases(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain"), (3, None, "plain"), (None, "u", "<nav>menu</nav>"), (5, "u", "<p>" + "word " * 60_000), (6, "u", "<p>a&ampb<p>c&nbsp;d<")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")
