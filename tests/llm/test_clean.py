@@ -33,6 +33,90 @@ def test_templates_and_slots(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+QUESTION = "Natalia sold 48 clips to some of her friends in the spring and then she sold half as many clips to others in the summer so how many clips did Natalia sell when the 48 were gone"
+
+
+def brute_leaks(docs, items, words=5, least=0.8):
+    """Every place of every text against every item, word by word: types agree, values map one to one, and enough windows are matched."""
+
+    def template(text):
+        out = []
+        for w in text.split():
+            kind, _, low = decontaminate.typed(w)
+            value = decontaminate.bare(w).lower()
+            if out and kind == out[-1][0] and kind in (decontaminate.NAME, decontaminate.NUM):
+                out[-1] = (kind, f"{out[-1][1]} {value}")
+            else:
+                out.append((kind, low if kind == decontaminate.LITERAL else value))
+        return out
+
+    def covered(item, text, at):
+        to, back, good = {}, {}, [False] * len(item)
+        for k, (kind, value) in enumerate(item):
+            if 0 <= at + k < len(text):
+                other, new = text[at + k]
+                if kind != other or (kind == decontaminate.LITERAL and value != new):
+                    continue
+                if kind != decontaminate.LITERAL and (to.setdefault((kind, value), new) != new or back.setdefault((kind, new), value) != value):
+                    return 0
+                good[k] = True
+        wins = [k for k in range(len(item) - words + 1) if any(t == decontaminate.LITERAL for t, _ in item[k : k + words])]
+        return sum(all(good[k : k + words]) for k in wins) / len(wins)
+
+    items = {i: template(t) for i, t in items.items()}
+    texts = {i: template(t) for i, t in docs.items()}
+    return {(d, i) for d, t in texts.items() for i, item in items.items() if any(covered(item, t, at) >= least for at in range(-len(item), len(t)))}
+
+
+def test_reparameterised_items_against_brute_force(spark):
+    r = random.Random(8)
+    names, numbers = ["Priya", "Mary Jane", "Emma", "Xavier", "O'Neil", "Oluwaseun"], ["60", "forty-eight", "7", "one hundred", "3.5"]
+    items = {1: QUESTION, 2: "A train that goes 60 km/h needs 3 hours from here to the town of Bremen so how far is Bremen and how long would a train at 80 km/h need for it"}
+    docs = {}
+    for i in range(60):
+        text = items[1 + i % 2]
+        for old, pool in (("Natalia", names), ("Bremen", names), ("48", numbers), ("60", numbers), ("80", ["90", "100"])):
+            text = text.replace(old, r.choice(pool))
+        split = text.split()
+        if i % 5 == 1:  # one value differs from the others in its place
+            at = r.choice([k for k, w in enumerate(split) if decontaminate.typed(w)[0] in (1, 2)])
+            split[at] = "Zebulon" if split[at][0].isalpha() else "977"
+        if i % 5 == 2:
+            split = split[: r.randrange(12, 40)]
+        docs[i] = f"{words(r.randrange(30), i)} {' '.join(split)} {words(r.randrange(30), 100 + i)}"
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()}
+    want = brute_leaks(docs, items)
+    assert got == want, [docs[d] for d, _ in got ^ want]
+    assert 20 < len(want) < 50
+
+
+def test_one_map_of_values_over_all_shifts(spark):
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    half = QUESTION.index("so how many")
+    one, two = QUESTION[:half], QUESTION[half:]
+    new = lambda t, name, n: t.replace("Natalia", name).replace("48", n)
+    rows = [
+        (1, new(one, "Emma", "60") + "well " + new(two, "Laura", "77")),  # other values after one more word
+        (2, new(one, "Emma", "60") + "well " + new(two, "Emma", "60")),
+        (3, new(QUESTION, "Priya", "forty-eight")),
+        (4, new(QUESTION, "Mary Jane", "one hundred")),
+        (5, QUESTION.lower()),
+        (6, QUESTION.replace("did Natalia sell", "did Priya's sister sell").replace("Natalia sold", "Priya sold")),  # possessive, one more word
+        (7, QUESTION.title()),
+        (8, new(QUESTION, "Emma", "60") + " and " + new(QUESTION, "Laura", "77")),  # two copies, each of one map
+        (9, new(one, "Emma", "60") + words(60, 5) + " " + new(two, "Emma", "60")),
+    ]
+    got = {r["doc_id"]: r["kind"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {2: "reparameterised", 6: "reparameterised", 3: "reparameterised", 4: "reparameterised", 5: "exact", 7: "exact", 8: "reparameterised"}
+
+
+def test_two_values_do_not_become_one():
+    slots = [["2Ann"], ["2Bob"], ["2Ann", "2Bob"]]
+    assert decontaminate.consistent([0] * 3, [0, 1, 2], [0, 1, 2], slots, [["2Cy"], ["2Di"], ["2Cy", "2Di"]], {0: 3}) == (1, False, 2)
+    assert decontaminate.consistent([0] * 3, [0, 1, 2], [0, 1, 2], slots, [["2Cy"], ["2Cy"], ["2Cy", "2Cy"]], {0: 3}) == (0, False, 0)
+
+
 TEXT = "Mr. John Smith, Anna Weber (415) 555-1234 +1 415-555-1234 card 4111-1111-1111-1111 or 4111111111111111, bo.b@mail.example.org 10.20.30.40 password=ab12cd34ef Иван Петров; 123-45-6789; DE89370400440532013000"
 
 
