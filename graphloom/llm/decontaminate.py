@@ -40,6 +40,8 @@ UNIT_WORD = re.compile(rf"(?:{_unit})(?:(?:/|-per-)(?:{_unit}|h|s|m|g|l))?$")
 NUMBER_UNIT = re.compile(rf"[+-]?\d[\d.,]*-?(?:{_unit})(?:/(?:{_unit}|h|s))?$")
 PUNCTUATION = ".,;:?!\"'()[]{}<>«»„“”‘’¡¿…*_-"
 LITERAL, NUM, NAME, UNIT = range(4)
+KNOWN = {**dict.fromkeys(NUMBER_WORDS, NUM), **dict.fromkeys(NAMES, NAME), **dict.fromkeys(UNITS, UNIT)}
+_PLACE = [xxhash.xxh64_intdigest(f"{kind}", 42) & ~3 | kind for kind in range(4)]
 REMEMBERED = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -59,16 +61,16 @@ def typed(word: str) -> tuple[int, int, str]:
     """The types of a word in the two views, and its template word."""
     w = bare(word)
     low = w.lower()
-    if low in NUMBER_WORDS or NUMBER.match(low) or ("-" in low and all(x in NUMBER_WORDS for x in low.split("-"))):
-        return NUM, NUM, ""
-    if low in NAMES:
-        return NAME, NAME, ""
-    if UNIT_WORD.match(low):
-        return UNIT, UNIT, ""
-    if low[0].isdigit() and NUMBER_UNIT.match(low):
-        return NUM, NUM, ""
-    shaped = w[0].isupper() and len(w) > 1 and not w.isupper() and low not in FUNCTION
-    return NAME if shaped else LITERAL, LITERAL, low
+    if low in KNOWN:
+        return KNOWN[low], KNOWN[low], ""
+    if not low.isalpha():
+        if NUMBER.match(low) or NUMBER_UNIT.match(low) or ("-" in low and all(x in NUMBER_WORDS for x in low.split("-"))):
+            return NUM, NUM, ""
+        if UNIT_WORD.match(low):
+            return UNIT, UNIT, ""
+    if w != low and w[0].isupper() and len(w) > 1 and not w.isupper() and low not in FUNCTION:
+        return NAME, LITERAL, low
+    return LITERAL, LITERAL, low
 
 
 class Words(dict):
@@ -79,9 +81,9 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         shaped, plain, w = typed(word)
-        h = xxhash.xxh64_intdigest(f"{LITERAL} {w}", 42) & ~3
+        h = xxhash.xxh64_intdigest(w, 42) & ~3 if plain == LITERAL else 0
         self[word] = n = len(self.rows)
-        self.rows.append(tuple(h if kind == LITERAL else xxhash.xxh64_intdigest(f"{kind}", 42) & ~3 | kind for kind in (shaped, plain)))
+        self.rows.append((h if shaped == LITERAL else _PLACE[shaped], h if plain == LITERAL else _PLACE[plain]))
         return n
 
     def hashes(self) -> np.ndarray:
