@@ -32,9 +32,9 @@ def test_stages(spark, tmp_path):
     assert left[0] == {True}
     assert ids(c) - ids(d) == {r["doc_id"] for r in decontaminate.contaminated(c, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids(d) == ids(e) == ids(f)
-    before = {c for r in d.collect() for *_, c in pii.detect(r["text"])}
-    after = {c for r in e.collect() for *_, c in pii.detect(r["text"])}
-    assert before and not before & after and len(before) == len(after)
+    before = [(r["doc_id"], c) for r in d.collect() for *_, c in pii.detect(r["text"])]
+    after = {r["doc_id"]: r["text"] for r in e.collect()}
+    assert before and not any(len(c) > 5 and c in after[i] for i, c in before)
     assert {r["doc_id"]: r["n_tokens"] for r in f.collect()} == {r["doc_id"]: r["n_tokens"] for r in queries.bpe.encode(e, queries.bpe.vocabulary(e, queries.tokenizer_path())).collect()}
 
 
