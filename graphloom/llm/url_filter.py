@@ -1,11 +1,12 @@
 """URL allow and block rules by a sorted sweep over intervals of canonical keys; DataFrame functions only.
 
 A rule's key is its host with the labels reversed, a separator and its path; all keys that begin with
-it are one interval.  The intervals are nested or apart.  A sweep over the rules' starts and ends in
+it are one interval.  The intervals of a host are nested or apart.  A sweep over the rules' starts and ends in
 order keeps the stack of active rules: a start at depth d is on top until the depth falls below d, so
 the top after any event is the last start at the depth that the event leaves.  This cuts the key space
-into segments with one innermost rule each.  URLs are dealt evenly over buckets, each bucket also gets
-the segments, and in the bucket's sort order every key takes the last segment before it.
+into segments with one innermost rule each.  Segments and the urls' keys are dealt out together by
+ranges of the key, and the segment that is open at the start of a range is carried there from the ranges before; in
+a range's order every key takes the last segment before it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATOR = "\x01"
 
@@ -34,47 +37,49 @@ def _reversed(host: Column) -> Column:
 
 
 def segments(rules: DataFrame) -> DataFrame:
-    """(key, top): from key on, up to the next row's key, top is the innermost rule (host, path, verdict) or has nulls."""
+    """(key, top): from key on, up to the next row's key, top is the innermost rule (rhost, host, path, verdict) or has nulls."""
     host = F.translate("host", ASCII, ASCII.lower())
-    rule = F.struct("host", "path", "verdict")
-    keyed = rules.where("host IS NOT NULL AND host <> '' AND path IS NOT NULL").select(
-        F.element_at(F.split(host, r"\."), -1).alias("tld"), _key(_reversed(host), F.col("path")).alias("key"), host.alias("host"), "path", "verdict"
-    )
-    keyed = keyed.groupBy("tld", "key", "host", "path").agg(F.min("verdict").alias("verdict"))  # of repeated rules, allow
+    rule = F.struct("rhost", "host", "path", "verdict")
+    keyed = rules.where("host IS NOT NULL AND host <> '' AND path IS NOT NULL").select(host.alias("host"), "path", "verdict").withColumn("rhost", _reversed(F.col("host")))
+    keyed = keyed.groupBy("rhost", "host", "path").agg(F.min("verdict").alias("verdict")).withColumn("key", _key(F.col("rhost"), F.col("path")))  # of repeated rules, allow
     event = F.explode(F.array(F.struct("key", F.lit(1).alias("step")), F.struct(F.concat("key", F.lit(b"\xff")).alias("key"), F.lit(-1).alias("step"))))
-    events = keyed.select("tld", rule.alias("rule"), event.alias("e")).select("tld", "e.*", F.when(F.col("e.step") == 1, F.col("rule")).alias("rule"))
-    # Rules of different top-level labels are never nested, so the stack needs one order within each.
-    depth = events.withColumn("depth", F.sum("step").over(Window.partitionBy("tld").orderBy("key")))
-    last = F.last("rule", ignorenulls=True).over(Window.partitionBy("tld", "depth").orderBy("key"))
+    events = keyed.select("rhost", rule.alias("rule"), event.alias("e")).select("rhost", "e.*", F.when(F.col("e.step") == 1, F.col("rule")).alias("rule"))
+    # Rules of different hosts are never nested, so the stack needs one order within each.
+    depth = events.withColumn("depth", F.sum("step").over(Window.partitionBy("rhost").orderBy("key")))
+    last = F.last("rule", ignorenulls=True).over(Window.partitionBy("rhost", "depth").orderBy("key"))
     top = F.when(F.col("depth") > 0, last)
-    return depth.select("key", F.struct(*[top[c].alias(c) for c in ("host", "path", "verdict")]).alias("top"))
+    return depth.select("key", F.struct(*[top[c].alias(c) for c in ("rhost", "host", "path", "verdict")]).alias("top"))
 
 
-def judge(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", buckets: int | None = None) -> DataFrame:
+def judge(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
     """One row per row of df: (page_id, host, path, rule, verdict).
 
     rules: (host, path, verdict).  A rule fits its host and all subdomains if the path starts with its
     path; of several, the longest host and path together win, then the longest host.  Without one, rule
     is null and the verdict is ``default``.  A null url or one without :// has an empty host and path.
-    Repeated rows are judged each for itself; other columns are ignored.  The rules are copied into
-    each bucket; the number of buckets follows the session's shuffle partitions.
+    Repeated rows are judged once and each gets its row; other columns are ignored.  A url is looked up under as many labels of its host as some rule has,
+    so that long hosts cost no more than others.  ranges: of the key; the session's shuffle partitions, if None.
     """
-    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url_col))
-    urls = df.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    url = ["page_id", "host", "path"]
+    urls = df.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).groupBy(*url).agg(F.count(F.lit(1)).alias("n"))
+    stack = segments(rules)
+    depths = [r["d"] for r in stack.where("top.rhost IS NOT NULL").select(F.size(F.split("top.rhost", r"\.")).alias("d")).distinct().collect()]  # as many as hosts have labels
     labels = F.reverse(F.split("host", r"\."))
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, F.lit(1), i), "."))
-    # A row without ancestor carries the url itself; one for each ancestor host with rules is a probe.
-    every = urls.withColumn("of", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(ancestors))))
-    hosts = rules.where("host IS NOT NULL").select(_reversed(F.translate("host", ASCII, ASCII.lower())).alias("known")).distinct()
-    probes = every.join(hosts, F.col("of") == F.col("known"), "left").where("of IS NULL OR known IS NOT NULL")
-    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket")
-    url = F.when(F.col("of").isNull(), F.struct("page_id", "host", "path")).alias("url")
-    points = probes.select(bucket, "row", _key(F.col("of"), F.col("path")).alias("key"), url, F.lit(1).alias("kind"))
-    stack = segments(rules).select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "key", "top", F.lit(0).alias("kind"))
-    swept = stack.unionByName(points, allowMissingColumns=True).withColumn("found", F.last("top", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("key", "kind")))
-    found = F.when(F.col("key").isNotNull() & F.col("found.host").isNotNull(), F.struct(F.length(F.concat("found.host", "found.path")).alias("n"), F.length("found.host").alias("h"), F.col("found")))
-    best = swept.where("kind = 1").groupBy("bucket", "row").agg(F.first("url", ignorenulls=True).alias("url"), F.max(found).alias("best"))
-    return best.select(
-        "url.page_id", "url.host", "url.path", F.concat("best.found.host", "best.found.path").alias("rule"), F.coalesce("best.found.verdict", F.lit(default)).alias("verdict")
+    known = F.filter(F.array(*map(F.lit, sorted(depths))).cast("array<int>"), lambda d: (d <= F.size(labels)) & (F.col("host") != ""))
+    probes = urls.select(*url, F.explode(F.transform(known, lambda d: F.array_join(F.slice(labels, F.lit(1), d), "."))).alias("of")).withColumn("key", _key(F.col("of"), F.col("path")))
+    events = stack.select("key", "top", F.lit(0).alias("kind")).unionByName(probes.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    # Equal keys are dealt over ranges as well, by the last column.
+    dealt = cut(events.repartitionByRange(ranges, "key", "kind", F.xxhash64("page_id", "path")).withColumn("range", F.spark_partition_id()))
+    ends = dealt.where("kind = 0").groupBy("range").agg(F.max_by("top", "key").alias("end"))
+    each = df.sparkSession.range(ranges).select(F.col("id").cast("int").alias("range"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    opened = each.join(ends, "range", "left").select("range", F.last("end", ignorenulls=True).over(before).alias("open"))  # one row a range
+    swept = dealt.join(F.broadcast(opened), "range").withColumn("found", F.coalesce(F.last("top", ignorenulls=True).over(Window.partitionBy("range").orderBy("key", "kind")), F.col("open")))
+    rule = F.when(F.col("found.rhost") == F.col("of"), F.struct(F.length(F.concat("found.host", "found.path")).alias("n"), F.length("found.host").alias("h"), F.col("found")))
+    judged = swept.where("kind = 1").select(*url, rule.alias("best")).where("best IS NOT NULL")
+    best = urls.unionByName(judged, allowMissingColumns=True).groupBy(*url).agg(F.max("n").alias("n"), F.max("best").alias("best"))
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(
+        *url, F.concat("best.found.host", "best.found.path").alias("rule"), F.coalesce("best.found.verdict", F.lit(default)).alias("verdict")
     )

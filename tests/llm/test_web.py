@@ -104,8 +104,16 @@ def test_url_rules_against_brute_force(spark):
     urls += [f"http://{h}{p}" for h in ("com", "a.com", "b.com", "a.b.com", "x.a.b.com", "xa.b.com", "com.org", "org.com") for p in ("", "/", "/fr/", "/fr/x/y", "/fr/x", "/de/?a", "?q=/de/", "#/de/")]
     df = spark.createDataFrame([(i % 40, u, "x") for i, u in enumerate([*urls, *urls[:5]])], "page_id long, url string, verdict string")
     rules = spark.createDataFrame([*RULES, (None, "/", "block"), ("net", None, "block")], "host string, path string, verdict string")
-    got = sorted(map(str, (tuple(r) for r in url_filter.judge(df, rules, buckets=3).collect())))
-    assert got == sorted(str((i % 40, *brute(u))) for i, u in enumerate([*urls, *urls[:5]]))
+    for n in (None, 1, 7):
+        got = sorted(map(str, (tuple(r) for r in url_filter.judge(df, rules, ranges=n).collect())))
+        assert got == sorted(str((i % 40, *brute(u))) for i, u in enumerate([*urls, *urls[:5]]))
+
+
+def test_hosts_of_many_labels(spark):
+    host = ".".join(["a"] * 60_000)
+    df = spark.createDataFrame([(1, f"http://{host}.com/fr/x"), (2, f"http://{host}"), (3, "http://com\x01/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/fr/", "block"), ("com", "", "block"), ("a.b.c.com", "/", "block")], "host string, path string, verdict string")
+    assert {r["page_id"]: r["rule"] for r in url_filter.judge(df, rules).collect()} == {1: "com/fr/", 2: None, 3: None}
 
 
 def test_url_rules_without_rows(spark):
