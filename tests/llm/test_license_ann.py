@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,8 +34,54 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+"""
+BSD = """Redistribution and use in source and binary forms, with or
+without modification, are permitted provided that the following
+conditions are met:
+1. Redistributions of source code must retain the above copyright notice
+"""
+
+
+def test_wrapped_notices_identifiers_and_titles(spark):
+    code = "int main() { return value; }\n" * 40
+    rows = [
+        ("p/a.c", f"/* {GPL} */\n{code}"), ("p/b.py", f"{APACHE}{code}"), ("p/c.py", f"// SPDX-License-Identifier: MPL-2.0\n{code}"), ("p/d", f"Copyright 2020 Some Body Inc. All rights reserved.\n{code}"), ("p/e.c", f"{BSD}{code}"),
+        ("p/f.c", f"// SPDX-License-Identifier: GPL-2.0\n{code}"), ("q/LICENSE", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n" + "Everyone is permitted to copy and distribute verbatim copies.\n" * 300), ("q/src/deep/x.c", code), ("r/x.c", code),
+        ("q/y.c", "the public version of a general foundation, either software or work"),
+    ]
+    got = {r["path"]: (r["license"], r["method"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    want = {"p/a.c": "GPL-3.0", "p/b.py": "Apache-2.0", "p/c.py": "MPL-2.0", "p/d": "Proprietary", "p/e.c": "BSD-3-Clause", "p/f.c": "GPL-2.0"}
+    assert {p: got[p] for p in want} == {p: (x, "header") for p, x in want.items()}
+    assert got["q/LICENSE"] == ("GPL-3.0", "file") and got["q/src/deep/x.c"] == got["q/y.c"] == ("GPL-3.0", "inherited") and got["r/x.c"] == (None, "none")
+
+
+def test_root_declaration_and_deep_paths(spark):
+    rows = [("LICENSE", "Released under the MIT License"), ("a/b/LICENSE", "Released under the MIT License"), ("a/" * 3000 + "x", "nothing"), ("a/b/" + "c/" * 3000 + "x", "nothing"), ("y", None), (None, "nothing")]
+    got = {r["path"]: r["declared_in"] for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/" * 3000 + "x"] == got["y"] == "LICENSE" and got["a/b/" + "c/" * 3000 + "x"] == "a/b/LICENSE" and got[None] is None
+
+
+def test_runs_against_sql(spark):
+    r = np.random.default_rng(7)
+    parts = [x for t in (APACHE, GPL, BSD, "The MIT License (MIT)\n", "All rights reserved. ", "Other words stand here\n", "\n", "of the public license. ") for x in t.splitlines(keepends=True)]
+    filler = lambda i: " ".join(f"word{k}" for k in range(400)) * (i % 3 > 0)
+    rows = [(f"{'abc'[i % 3]}/{i % 5}/{i}", "".join(r.choice(parts, r.integers(0, 25) if i % 7 else 0)) + filler(i)) for i in range(150)]
+    frame = pd.DataFrame(rows, columns=["path", "text"])
+    want = duckdb.connect().sql(license_scan.scan_sql("SELECT * FROM frame")).fetchall()
+    got = [tuple(x) for x in license_scan.scan(spark.createDataFrame(frame)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {x[2] for x in got} == {"file", "header", "inherited", "none"}
+
+
 def test_anchors_bound_the_cosine():
-    _, _, vectors = license_scan.weights(license_scan.TEMPLATES)
+    _, _, vectors = license_scan.weights([t for _, t, _ in license_scan.ALL])
     need = set(license_scan.anchors(vectors, 0.75))
     assert all(sum(w * w for t, w in v.items() if t not in need) < 0.75**2 for v in vectors)
 
