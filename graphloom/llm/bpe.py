@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash over bytes cuts texts where the same passage is cut in every document.  A chunk that
-several documents of a task share is encoded once.  A cut may fall inside what the tokenizer treats as
+A rolling hash over bytes cuts texts where the same passage is cut in every document.  Chunks are counted by their hashes over
+the whole corpus; those whose repeats would cost most are encoded once for all documents and sent to all workers, as many as
+SHARED tells.  Other chunks that the documents of a task share are encoded once in the task.  A cut may fall inside what the tokenizer treats as
 one word, so every join is repaired: the stretch between the nearest places where no token can cross
 is encoded again, and the chunks' own tokens must end exactly at its two ends; where they do not, the
 whole stretch of text is encoded again.
@@ -12,12 +13,14 @@ from __future__ import annotations
 import json
 import struct
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from .common import as_bytes, slices, through_arrow
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of chunks and their ids that a worker remembers before it starts afresh.
 REMEMBERED = 16 << 20
+#: Most chunks of the corpus' dictionary, and most bytes of one of them: some 10 MB with their ids.
+SHARED, SHARED_BYTES = 8_192, 4_096
 #: A chunk has 2 ** CUT_BITS bytes on average, and LEAST at least.
 CUT_BITS, LEAST = 9, 64
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
@@ -58,6 +63,7 @@ class Tokenizer:
         for k, v in self.special.items():
             self.bytes[v] = k.encode()
         self.encoding = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.shared: dict[bytes, array] = {}
         self.seen: dict[bytes, array] = {}
         self.held = 0
 
@@ -65,7 +71,9 @@ class Tokenizer:
         return self.encoding.encode_ordinary(text.decode())
 
     def chunk(self, text: bytes) -> array:
-        ids = self.seen.get(text)
+        ids = self.shared.get(text)
+        if ids is None:
+            ids = self.seen.get(text)
         if ids is None:
             ids = array("I", self.plain(text))
             if self.held > REMEMBERED:
@@ -88,27 +96,7 @@ class Tokenizer:
 
     def encode_all(self, texts: list[bytes]) -> list[list[int]]:
         """The ids of each text, which holds no special token."""
-        out: list[list[int]] = []
-        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        begin = [0, *accumulate(len(t) + 1 for t in texts)]
-        cuts, left, right = boundaries(raw, np.array(begin))
-        where = np.searchsorted(cuts, np.array(begin)).tolist()
-        for i, text in enumerate(texts):
-            start, size = begin[i], len(text)
-            at = (cuts[where[i] : where[i + 1]] - start).tolist()
-            last, ends, spans = 0, [], []
-            for c, s, e in zip(at, (left[where[i] : where[i + 1]] - start).tolist(), (right[where[i] : where[i + 1]] - start).tolist()):
-                if c - last < LEAST or size - c < LEAST:
-                    continue
-                s, e = max(s, 0), min(e, size)
-                if spans and s <= spans[-1][1]:
-                    spans[-1][1] = max(e, spans[-1][1])
-                else:
-                    spans.append([s, e])
-                ends.append(c)
-                last = c
-            out.append(self._joined(text, ends, spans) if ends else self.chunk(text).tolist() if size else [])
-        return out
+        return [self._joined(text, ends, spans) if ends else self.chunk(text).tolist() if text else [] for text, (ends, spans) in zip(texts, cut_up(texts))]
 
     def _joined(self, text: bytes, ends: list[int], spans: list[list[int]]) -> list[int]:
         """Tokens of the chunks outside the spans, and of each span encoded again."""
@@ -163,6 +151,35 @@ def boundaries(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cuts, safe[np.searchsorted(safe, cuts, "right") - 1], safe[np.minimum(np.searchsorted(safe, cuts, "left"), len(safe) - 1)]
 
 
+def cut_up(texts: list[bytes]) -> Iterator[tuple[list[int], list[list[int]]]]:
+    """For each text the ends of its chunks but the last, and the stretches around them that are encoded again."""
+    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    begin = [0, *accumulate(len(t) + 1 for t in texts)]
+    cuts, left, right = boundaries(raw, np.array(begin))
+    where = np.searchsorted(cuts, np.array(begin)).tolist()
+    for i, text in enumerate(texts):
+        start, size = begin[i], len(text)
+        at = (cuts[where[i] : where[i + 1]] - start).tolist()
+        last, ends, spans = 0, [], []
+        for c, s, e in zip(at, (left[where[i] : where[i + 1]] - start).tolist(), (right[where[i] : where[i + 1]] - start).tolist()):
+            if c - last < LEAST or size - c < LEAST:
+                continue
+            s, e = max(s, 0), min(e, size)
+            if spans and s <= spans[-1][1]:
+                spans[-1][1] = max(e, spans[-1][1])
+            else:
+                spans.append([s, e])
+            ends.append(c)
+            last = c
+        yield ends, spans
+
+
+def chunks(texts: list[bytes]) -> Iterator[bytes]:
+    for text, (ends, _) in zip(texts, cut_up(texts)):
+        if text:
+            yield from (text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]))
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(source: str) -> Tokenizer:
     return Tokenizer(source)
@@ -174,19 +191,61 @@ def vocabulary(df: DataFrame, path: str) -> Broadcast:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def dictionary(df: DataFrame, tokenizer: Broadcast, *, text_col: str = "text", most: int = SHARED) -> Broadcast:
+    """The chunks of the corpus whose repeats have most bytes, ``most`` at most, each encoded once: {chunk: ids} for all workers.
+
+    Two passes: one counts hashes, the other fetches the chosen chunks.  Chunks that are not chosen are encoded where they stand.
+    """
+    texts = df.select(F.col(text_col).alias("text"))
+    key = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=2 << 20):
+            seen: Counter[tuple[int, int]] = Counter((key(x), len(x)) for x in chunks(as_bytes(b.column("text"))) if len(x) <= SHARED_BYTES)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int64()), pa.array([n for _, n in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["h", "size", "n"])
+
+    counted = texts.transform(through_arrow, count, "h long, size int, n long").groupBy("h", "size").agg(F.sum("n").alias("n")).where("n > 1")
+    chosen = {r["h"] for r in counted.orderBy(F.desc((F.col("n") - 1) * F.col("size")), "h").limit(most).select("h").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(chosen)
+
+    def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        left = set(known)
+        for b in slices(batches, limit=2 << 20):
+            if not left:
+                continue
+            held = {h: x for x in chunks(as_bytes(b.column("text"))) if (h := key(x)) in left}
+            left -= held.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.binary())], ["h", "chunk"])
+
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _tokenizer(tokenizer.value)
+        for b in batches:
+            held = b.column("chunk").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(_packed([tok.plain(x) for x in held]), pa.binary())], ["chunk", "ids"])
+
+    if not chosen:
+        return df.sparkSession.sparkContext.broadcast({})
+    once = texts.transform(through_arrow, fetch, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk")).select("chunk")
+    rows = once.transform(through_arrow, encoded, "chunk binary, ids binary").collect()  # ``most`` rows
+    return df.sparkSession.sparkContext.broadcast({bytes(r["chunk"]): array("I", bytes(r["ids"])) for r in rows})
+
+
 def _packed(ids: list[list[int]]) -> list[bytes]:
     return [struct.pack(f"<{len(x)}I", *x) for x in ids]
 
 
-def encode(df: DataFrame, tokenizer: Broadcast, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, tokenizer: Broadcast, *, id_col: str = "doc_id", text_col: str = "text", shared: Broadcast | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers.
 
     Whole texts are encoded.  A null or empty text has no ids.  Repeated rows give repeated rows;
-    other columns are ignored.
+    other columns are ignored.  shared: from dictionary(), which makes it if there is none.
     """
+    shared = shared or dictionary(df, tokenizer, text_col=text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer.value)
+        tok.shared = shared.value
         for b in slices(batches, limit=2 << 20):
             raw = _packed(tok.encode(as_bytes(b.column("text"))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -195,7 +254,10 @@ def encode(df: DataFrame, tokenizer: Broadcast, *, id_col: str = "doc_id", text_
 
 
 def decode(df: DataFrame, tokenizer: Broadcast) -> DataFrame:
-    """The rows of encode() with the decoded text, special tokens kept; bytes that are not UTF-8 become U+FFFD."""
+    """The rows of encode() with the decoded text, special tokens kept; bytes that are not UTF-8 become U+FFFD.
+
+    Null ids have an empty text; repeated rows stay; ids beyond the vocabulary raise an error.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer.value)
@@ -207,11 +269,13 @@ def decode(df: DataFrame, tokenizer: Broadcast) -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids, text): each text encoded, and decoded again from its ids."""
+    """(doc_id, n_tokens, ids, text): each text encoded, and decoded again from its ids; nulls and repeated rows as in encode()."""
     tokenizer = vocabulary(df, path)
+    shared = dictionary(df, tokenizer, text_col=text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer.value)
+        tok.shared = shared.value
         for b in slices(batches, limit=2 << 20):
             raw = _packed(tok.encode(as_bytes(b.column("text"))))
             texts = [tok.decode(np.frombuffer(x, "<u4")) for x in raw]

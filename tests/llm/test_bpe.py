@@ -50,6 +50,20 @@ def test_shared_chunks_are_encoded_once(own):
     assert before > 20 and len(own.seen) <= before + 3
 
 
+def test_chunks_of_the_corpus_are_shared(spark, library):
+    r = random.Random(6)
+    passage = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2000))
+    rows = [(i, f"{' '.join(str(r.random()) for _ in range(i))} {passage} end {i}") for i in range(12)] + [(20, None), (21, ""), (22, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tokenizer = bpe.vocabulary(df, queries.tokenizer_path())
+    shared = bpe.dictionary(df, tokenizer).value
+    assert len(shared) > 15 and all(k.decode() in passage and list(v) == library.encode(k.decode(), add_special_tokens=False).ids for k, v in list(shared.items())[:30])
+    assert len(bpe.dictionary(df, tokenizer, most=3).value) == 3 and not bpe.dictionary(df.where("doc_id = 22"), tokenizer).value
+    got = {x["doc_id"]: list(struct.unpack(f"<{x['n_tokens']}I", x["ids"])) for x in bpe.encode(df, tokenizer).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    assert [x["text"] for x in bpe.decode(spark.createDataFrame([(1, 0, None)], "doc_id long, n_tokens long, ids binary"), tokenizer).collect()] == [""]
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.Tokenizer('{"pre_tokenizer": null, "normalizer": null, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}')
