@@ -6,12 +6,12 @@ items; personal data is replaced; what is left is encoded.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.lineage import shared_folder
 from graphloom.llm import bpe, decontaminate, pii, simhash, toxicity
 from graphloom.llm.common import table
 from graphloom.llm.queries import PII_KEY, tokenizer_path
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage's output is a table in the cluster's shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"

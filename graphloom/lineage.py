@@ -1,15 +1,26 @@
-"""Cutting the lineage of iterative plans."""
+"""The folder that all machines share, and cutting the lineage of iterative plans."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What the session names in spark.checkpoint.dir.  Only a local session, which is one machine, gets a temporary folder where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the folder that the session names in spark.checkpoint.dir."""
+    """df from a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import graph as graphs
 from ..graph import Graph
-from ..lineage import cut
+from ..lineage import cut, shared_folder
 from ..operators import coloring, contract, degree, moves, partition
 from ..sources import generate, tables, text
 from . import oracle
@@ -56,8 +55,7 @@ def _m2(g: Graph) -> int:
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Graphs from tables and rules
@@ -432,7 +430,7 @@ def reorder_by_color(spark, sf_dir):
 
 @register(query(SUPP, "SELECT src, dst, w FROM g"))
 def binary_roundtrip(spark, sf_dir):
-    path = f"{tempfile.mkdtemp(prefix='graph-')}/graph.bin" if not (d := spark.conf.get("spark.checkpoint.dir", None)) else f"{d.removeprefix('file://')}/graph-{uuid.uuid4().hex}.bin"
+    path = _scratch(spark, "graph").removeprefix("file://") + ".bin"
     _supp(spark, sf_dir).write_binary(path)
     return Graph.read_binary(spark, path, whole=True).edges
 
