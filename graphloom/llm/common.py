@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import cut  # noqa: F401  (for the operators)
+
 #: Bytes of text that a Python worker holds at a time, besides the Arrow batch itself.
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch between Spark and its Python workers.
@@ -40,16 +41,6 @@ def give_back() -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
