@@ -62,8 +62,8 @@ TERM = re.compile(r"[a-z0-9]+")
 YEAR = "^(19|20)[0-9][0-9]$"
 #: Pieces of a run at most.
 REACH = 8
-#: Keys that a directory's declaration is dealt over.
-SALTS = 8
+#: Keys that a directory is dealt over, below a declaring one and with its files.
+SALTS, FILE_SALTS = 8, 32
 
 
 def terms_of(text: str) -> list[str]:
@@ -95,6 +95,14 @@ def anchors(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(out)
 
 
+def any_of(words: list[str]) -> str:
+    """Expression for one of the words as a whole word of lower-case text; by first letters, so that few are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return rf"(?<![a-z0-9])(?:{'|'.join(c + '(?:' + '|'.join(rest) + ')' for c, rest in by.items())})(?![a-z0-9])"
+
+
 def _pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "([.!?])[ \\t]+", "$1\n"), "\n")
 
@@ -103,7 +111,7 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     """One row per row of df: (path, license, method, score, declared_in).
 
     method: ``header`` if a run of pieces reaches cosine ``header`` to a template; ``file`` if that template is a title, or if the whole text
-    reaches ``file`` to a template beside a notice, or ``header`` without one, which then decides; else ``inherited`` from the nearest directory above that has a licence file,
+    reaches ``file`` to a template beside a notice, which then decides; else ``inherited`` from the nearest directory above that has a licence file,
     else ``none``.  Of several templates the greatest cosine wins, then the least name; of a
     directory's licence files too, then the least path.  A null or blank text has no licence of its
     own; a null path inherits nothing.  Repeated rows each get their row; other columns are ignored.
@@ -112,15 +120,21 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     spark = df.sparkSession
     idf, other, vectors = weights([text for _, text, _ in templates])
     need = anchors(vectors, header)
-    has_anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(need)})(?![a-z0-9])"
+    has_anchor = any_of(need)
     postings = spark.createDataFrame([(t, i, w, idf[t]) for i, v in enumerate(vectors) for t, w in v.items()], "term string, template int, weight double, idf double")
     names = spark.createDataFrame([(i, name, int(title)) for i, (name, _, title) in enumerate(templates)], "template int, license string, title int")
     # Rows are known by 96 bits of what they hold, so that they are found again however Spark deals them out; equal ones share a result.
     files = df.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")).withColumn("row", F.struct(F.xxhash64("path", "text").alias("a"), F.hash("text", "path").alias("b")))
-    pieces = files.where(F.col("text").rlike(has_anchor)).select("row", F.posexplode(_pieces(F.col("text"))).alias("piece", "unit"))
-    terms = pieces.select("row", "piece", F.explode(F.split(F.lower("unit"), "[^a-z0-9]+")).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(STOP) & ~F.col("term").rlike(YEAR))
+    # Units of terms are the whole text (-1), and the pieces that can be in one run with an anchor.
+    split = files.select("row", F.lower("text").alias("text")).where(F.col("text").rlike(has_anchor)).select("row", "text", _pieces(F.col("text")).alias("pieces"))
+    told = split.select("row", "text", "pieces", F.transform("pieces", lambda x: x.rlike(has_anchor)).alias("told"))
+    close = lambda i: F.array_contains(F.slice("told", F.greatest(i - (REACH - 2), F.lit(1)), REACH + F.least(i, F.lit(REACH - 1))), True)
+    near = F.filter(F.transform("pieces", lambda x, i: F.struct(i.alias("piece"), F.when(close(i), x).alias("unit"))), lambda x: x["unit"].isNotNull())
+    units = told.select("row", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("piece"), F.col("text").alias("unit"))), near)).alias("u")).select("row", "u.piece", "u.unit")
+    terms = units.select("row", "piece", F.explode(F.split("unit", "[^a-z0-9]+")).alias("term")).where((F.col("term") != "") & ~F.col("term").isin(STOP) & ~F.col("term").rlike(YEAR))
     # Norms and products of pieces, runs and whole texts all start here: the texts are read for it once.
-    counted = cut(terms.groupBy("row", "piece", "term").agg(F.count(F.lit(1)).alias("n")))
+    every = cut(terms.groupBy("row", "piece", "term").agg(F.count(F.lit(1)).alias("n")))
+    counted = every.where("piece >= 0")
     known = postings.select("term", "idf").distinct()
     weigh = lambda x: x.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     square = F.sum(F.col("w") * F.col("w"))
@@ -145,9 +159,9 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     notices = one.unionByName(runs.join(exact, ["row", "first", "last"]).select("row", "template", "dot", "norm"))
     score = F.round(F.col("dot") / F.col("norm"), 4)
     notices = notices.withColumn("score", score).where(F.col("score") >= header).join(F.broadcast(names), "template").select("row", "license", "score", F.col("title").alias("whole"))
-    texts = weigh(counted.groupBy("row", "term").agg(F.sum("n").alias("n")))
+    notices = cut(notices)
+    texts = weigh(every.where("piece < 0").join(notices.select("row").distinct(), "row", "left_semi"))
     wholes = products(texts, "row").join(texts.groupBy("row").agg(F.sqrt(square).alias("norm")), "row").withColumn("score", score).where(F.col("score") >= file)
-    wholes = wholes.join(notices.select("row").distinct().withColumn("noticed", F.lit(True)), "row", "left").where(F.col("noticed") | (F.col("score") >= header))
     wholes = wholes.join(F.broadcast(names), "template").select("row", "license", "score", F.lit(1).alias("whole"))
     best = notices.unionByName(wholes).groupBy("row").agg(F.min(F.struct((-F.col("whole")).alias("w"), (-F.col("score")).alias("s"), "license")).alias("o"))
     own = files.drop("text").join(best, "row", "left").select("path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), "o.license", (-F.col("o.s")).alias("score"), (-F.col("o.w")).alias("whole"))
@@ -165,10 +179,10 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     above = F.explode(F.transform(at, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("above"))))
     asked = dirs.select("dir", above.alias("a")).select("dir", "a.depth", "a.above", F.pmod(F.xxhash64("dir"), F.lit(SALTS)).alias("salt"))
     salted = declared.where("above <> ''").select("above", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    nearest = asked.join(salted, ["above", "salt"]).groupBy("dir").agg(F.max_by("from", "depth").alias("near"))
+    nearest = asked.join(salted, ["above", "salt"]).groupBy("dir").agg(F.max_by("from", "depth").alias("near")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FILE_SALTS - 1).cast("long"))))
     root = declared.where("above = ''").select(F.col("from").alias("root")).collect()  # one row at most
     root = F.struct(*[F.lit(root[0]["root"][c] if root else None).cast("string").alias(c) for c in ("declared_in", "dir_license")])
-    found = own.join(nearest, "dir", "left").withColumn("from", F.when(F.col("license").isNull() & F.col("path").isNotNull(), F.coalesce("near", root)))
+    found = own.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(FILE_SALTS))).join(nearest, ["dir", "salt"], "left").withColumn("from", F.when(F.col("license").isNull() & F.col("path").isNotNull(), F.coalesce("near", root)))
     return found.select(
         "path",
         F.coalesce("license", F.col("from.dir_license")).alias("license"),
@@ -201,7 +215,7 @@ norms AS (SELECT rn, first, last, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY
 dots AS (SELECT rn, first, last, template, sum(w * weight) AS dot FROM weighed JOIN posting USING (term) GROUP BY ALL),
 every AS MATERIALIZED (SELECT rn, first, license, title, round(dot / norm, 4) AS score FROM dots JOIN norms USING (rn, first, last) JOIN templates USING (template)),
 noticed AS MATERIALIZED (SELECT rn, license, score, title AS whole FROM every WHERE first >= 0 AND score >= {header}),
-scored AS (SELECT * FROM noticed UNION ALL SELECT rn, license, score, 1 FROM every WHERE first < 0 AND (score >= {header} OR (score >= {file} AND rn IN (SELECT rn FROM noticed)))),
+scored AS (SELECT * FROM noticed UNION ALL SELECT rn, license, score, 1 FROM every WHERE first < 0 AND score >= {file} AND rn IN (SELECT rn FROM noticed)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY whole DESC, score DESC, license) AS best FROM scored),
 own AS MATERIALIZED (SELECT f.rn, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, score, whole FROM files f LEFT JOIN (SELECT * FROM ranked WHERE best = 1) USING (rn)),
 declared AS (SELECT dir AS above, path AS declared_in, license AS dir_license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS best FROM own WHERE whole = 1 AND path IS NOT NULL),
