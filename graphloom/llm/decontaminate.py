@@ -11,6 +11,7 @@ slot consistency decides: one value of the text stands for each value of the ite
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -42,7 +43,7 @@ PUNCTUATION = ".,;:?!\"'()[]{}<>«»„“”‘’¡¿…*_-"
 LITERAL, NUM, NAME, UNIT = range(4)
 KNOWN = {**dict.fromkeys(NUMBER_WORDS, NUM), **dict.fromkeys(NAMES, NAME), **dict.fromkeys(UNITS, UNIT)}
 _PLACE = [xxhash.xxh64_intdigest(f"{kind}", 42) & ~3 | kind for kind in range(4)]
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Most bits of the filter that documents' windows pass before the join, 16 MB.
@@ -54,15 +55,15 @@ SALTS = 16
 def bare(word: str) -> str:
     """Without punctuation at its ends and a possessive ending; punctuation alone stays."""
     w = word.strip(PUNCTUATION) or word
-    return w[:-2] if len(w) > 2 and w[-2] in "'’" and w[-1] in "sS" else w
+    return w[:-2] if w[-1] in "sS" and len(w) > 2 and w[-2] in "'’" else w
 
 
 def typed(word: str) -> tuple[int, int, str]:
     """The types of a word in the two views, and its template word."""
     w = bare(word)
     low = w.lower()
-    if low in KNOWN:
-        return KNOWN[low], KNOWN[low], ""
+    if (kind := KNOWN.get(low)) is not None:
+        return kind, kind, ""
     if not low.isalpha():
         if NUMBER.match(low) or NUMBER_UNIT.match(low) or ("-" in low and all(x in NUMBER_WORDS for x in low.split("-"))):
             return NUM, NUM, ""
@@ -74,25 +75,26 @@ def typed(word: str) -> tuple[int, int, str]:
 
 
 class Words(dict):
-    """From a word as written to its place in ``hashes``; a row holds, for each view, 64 bits whose two lowest are the type."""
+    """From a word as written to its place in ``views``: for each view, 64 bits whose two lowest are the type."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int]] = []
+        self.views = (array("Q"), array("Q"))
 
     def __missing__(self, word: str) -> int:
         shaped, plain, w = typed(word)
-        h = xxhash.xxh64_intdigest(w, 42) & ~3 if plain == LITERAL else 0
-        self[word] = n = len(self.rows)
-        self.rows.append((h if shaped == LITERAL else _PLACE[shaped], h if plain == LITERAL else _PLACE[plain]))
+        h = xxhash.xxh64_intdigest(w, 42) & ~3 if plain == LITERAL else _PLACE[plain]
+        self[word] = n = len(self.views[0])
+        self.views[0].append(h if shaped == plain else _PLACE[shaped])
+        self.views[1].append(h)
         return n
 
-    def hashes(self) -> np.ndarray:
-        return np.array(self.rows, np.uint64).reshape(-1, 2).T
+    def hashes(self) -> list[np.ndarray]:
+        return [np.array(x, np.uint64) for x in self.views]
 
     def tidy(self) -> None:
         if len(self) >= REMEMBERED:
             self.clear()
-            self.rows.clear()
+            self.views = (array("Q"), array("Q"))
 
 
 class Windows:
