@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 CLIP = 30.0
+#: Places that are looked at together while a field is fitted.
+BLOCK = 200_000
 
 
 @dataclass
@@ -86,18 +88,29 @@ def fit(emit, absorb, weights: np.ndarray, label: np.ndarray, size: np.ndarray,
     """
     chain, adam, total = Chain(), Adam(rate), len(label)
     begin = np.cumsum(size) - size
-    inner = np.setdiff1d(np.arange(total), begin, assume_unique=True)
-    by = np.ones(total) if weight is None else np.repeat(weight, size)
-    seen = np.bincount(2 * label[inner - 1] + label[inner], by[inner], 4).reshape(2, 2)
     tail = begin + size - 1
+    by = np.ones(len(size)) if weight is None else weight
+    # Blocks of whole chains bound what a step holds besides scores and residuals.
+    block = begin // BLOCK
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(size)]])
+    parts = [(a, b, begin[a], begin[b - 1] + size[b - 1]) for a, b in zip(edge, edge[1:]) if b > a]
+    seen = np.zeros((2, 2))
+    rest = np.empty(total)
     for _ in range(steps):
-        e, fwd, bwd = chain.ratios(emit(weights), size)
-        odds = fwd * bwd
-        rest = by * (label - odds / (1 + odds))
-        if weight is None:
-            expected = chain.edges(e, fwd, bwd, inner)
-        else:
-            expected = sum(w * chain.edges(e, fwd, bwd, inner[by[inner] == w]) for w in np.unique(weight))
+        score, expected, first = emit(weights), np.zeros((2, 2)), not seen.any()
+        for a, b, lo, hi in parts:
+            n, y, each = size[a:b], label[lo:hi], np.repeat(by[a:b], size[a:b])
+            e, fwd, bwd = chain.ratios(score[lo:hi], n)
+            odds = fwd * bwd
+            rest[lo:hi] = each * (y - odds / (1 + odds))
+            inner = np.ones(hi - lo, bool)
+            inner[begin[a:b] - lo] = False
+            for w in np.unique(by[a:b]):
+                at = np.flatnonzero(inner & (each == w))
+                expected += w * chain.edges(e, fwd, bwd, at)
+                if first:
+                    seen += w * np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2)
+        del score
         moved = adam.step(
             weights=(weights, absorb(rest) / total - l2 * weights),
             trans=(chain.trans, (seen - expected) / total - l2 * chain.trans),

@@ -11,6 +11,7 @@ give each token's probability, from which the document's score and the offending
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from .labelled import sample
 PREFIXES = (3, 4, 5, 6, 7)
 PUNCTUATION = ".,;:?!\"'()[]{}<>«»„“”‘’¡¿…*_-"
 #: Token types that a worker remembers before it starts afresh.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Tokens of a chain while the field is fitted; longer lines are several chains there, and one when they are tagged.
 FITTED = 200
 #: Weights below this are no part of a model.
@@ -65,29 +66,60 @@ class Model:
 
 
 class Types(dict):
-    """From a token as written to its number; scores[number] are the sums of its features' weights."""
+    """From a token as written to its number; scores() are the sums of the weights of each one's features, as token_features() has them."""
 
     def __init__(self, weights: dict[str, tuple[float, float, float]]) -> None:
-        self.weights, self.sums = weights, []
+        none = (0.0, 0.0, 0.0)
+        self.whole = {f[1:]: w for f, w in weights.items() if f[0] == "="}
+        self.ending = {f[1:]: w for f, w in weights.items() if f[0] == "$"}
+        self.shape = {f: w for f, w in weights.items() if f[0] == "#"}
+        # Beginnings with the sums of theirs; every beginning of a known one is known, so that the first unknown one ends the search.
+        self.begins: dict[str, tuple[float, float, float]] = {}
+        for f in weights:
+            if f[0] == "^":
+                total = none
+                for k in PREFIXES:
+                    if k < len(f):
+                        w = weights.get(f[: k + 1], none)
+                        total = (total[0] + w[0], total[1] + w[1], total[2] + w[2])
+                        self.begins[f[1 : k + 1]] = total
+        self.shapes: dict[tuple, tuple[float, float, float]] = {}
+        self.sums = (array("d"), array("d"), array("d"))
 
     def __missing__(self, token: str) -> int:
-        own = after = before = 0.0
-        get = self.weights.get
-        for part in token_features(token):
-            for f in part:
-                if w := get(f):
-                    own, after, before = own + w[0], after + w[1], before + w[2]
-        self[token] = n = len(self.sums)
-        self.sums.append((own, after, before))
-        return n
-
-    def scores(self) -> np.ndarray:
-        return np.array(self.sums).reshape(-1, 3).T
+        t = token.strip(PUNCTUATION).lower()
+        n = len(t)
+        kind = (n > 3, n > 8, n > 1 and token.isupper(), token[0].isupper(), t.isalpha(), token[-1] if token[-1] in PUNCTUATION else "", n > 0)
+        own, after, before = self.shapes.get(kind) or self._shape(kind, token)
+        found = [self.whole.get(t), self.ending.get(t[-3:]) if n > 3 else None]
+        last = None
+        for k in PREFIXES:
+            if k >= n or (w := self.begins.get(t[:k])) is None:
+                break
+            last = w
+        found.append(last)
+        for w in found:
+            if w:
+                own, after, before = own + w[0], after + w[1], before + w[2]
+        self[token] = at = len(self.sums[0])
+        a, b, c = self.sums
+        a.append(own)
+        b.append(after)
+        c.append(before)
+        return at
+
+    def _shape(self, kind: tuple, token: str) -> tuple[float, float, float]:
+        held = [self.shape.get(f, (0.0, 0.0, 0.0)) for f in token_features(token)[1] if f[0] == "#"]
+        self.shapes[kind] = total = tuple(map(sum, zip(*held)))
+        return total
+
+    def scores(self) -> list[np.ndarray]:
+        return [np.array(x) for x in self.sums]
 
     def tidy(self) -> None:
         if len(self) >= REMEMBERED:
             self.clear()
-            self.sums.clear()
+            self.sums = (array("d"), array("d"), array("d"))
 
 
 def _chains(texts: Iterable[str], number) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,24 +184,27 @@ class _Sample:
 
     def __init__(self, texts: list[str], label: np.ndarray) -> None:
         types: dict[str, int] = {}
-        self.x, size, self.tokens = _chains(texts, lambda w: types.setdefault(w, len(types)))
+        x, size, self.tokens = _chains(texts, lambda w: types.setdefault(w, len(types)))
+        self.x = x.astype(np.int32)
         pieces = -(-size // FITTED)
         last = np.cumsum(pieces) - 1
         self.size = np.full(pieces.sum(), FITTED)
         self.size[last] = size - FITTED * (pieces - 1)
         self.begin = np.cumsum(self.size) - self.size
         names: dict[str, int] = {}
-        entries, telling, count = [], [], []
+        entries, telling, count = array("i"), bytearray(), array("i")
         for w in types:
             a, b = token_features(w)
-            entries += [names.setdefault(f, len(names)) for f in (*a, *b)]
-            telling += [True] * len(a) + [False] * len(b)
+            entries.extend([names.setdefault(f, len(names)) for f in (*a, *b)])
+            telling += b"\1" * len(a) + b"\0" * len(b)
             count.append(len(a) + len(b))
-        self.names, self.entry, self.telling = list(names), np.array(entries, np.int64), np.array(telling, bool)
-        self.of_type = np.repeat(np.arange(len(types)), count)
-        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         self.label, self.types = label, len(types)
-        self.docs = np.zeros((2, len(names)), np.int64)
+        del types, x
+        self.names, self.entry, self.telling = list(names), np.array(entries, np.int32), np.frombuffer(bytes(telling), bool)
+        del names
+        self.of_type = np.repeat(np.arange(self.types, dtype=np.int32), count)
+        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        self.docs = np.zeros((2, len(self.names)), np.int64)
         ends = np.cumsum(self.tokens)
         for a, b, y in zip((ends - self.tokens).tolist(), ends.tolist(), label.tolist()):
             if b > a:
@@ -183,23 +218,19 @@ class _Sample:
     def telling_features(self, least_docs: int, chance: float) -> np.ndarray:
         """Features that chance would put into so many toxic documents at most ``chance`` times over all features of that frequency.
 
-        What counts is the number of documents, or of different pairs of neighbours if that is less: copies of a document repeat its words with their neighbours.
+        What counts is the number of documents, or of places between different neighbours if that is less: copies of a document repeat its words with their neighbours.
         """
         can = np.zeros(len(self.names), bool)
         can[self.entry[self.telling]] = True
-        # Of toxic tokens with a feature: (feature, token before, token after), each once.
-        toxic = np.flatnonzero(np.repeat(self.label, self.tokens) == 1)
-        pad = np.concatenate([[-1], self.x, [-1]])
         can &= self.docs[1] >= least_docs
-        around = np.zeros(len(self.names), np.int64)
-        held, where = np.unique(np.stack([self.x[toxic], pad[toxic], pad[toxic + 2]]), axis=1, return_index=True)
-        at = self._entries(held[0])
-        place = np.repeat(np.arange(held.shape[1]), self.first[held[0] + 1] - self.first[held[0]])
-        use = can[self.entry[at]]
-        at, place = at[use], place[use]
-        pair = held[1][place] * (self.types + 1) + held[2][place]
-        key = np.unique(np.stack([self.entry[at], pair]), axis=1)[0]
-        np.add.at(around, key, 1)
+        # Toxic tokens with the tokens beside them, each such three once.
+        toxic = np.flatnonzero(np.repeat(self.label, self.tokens) == 1)
+        pad = np.concatenate([[0], self.x.astype(np.int64) + 1, [0]])
+        width = self.types + 1
+        three = np.unique((pad[toxic + 1] * width + pad[toxic]) * width + pad[toxic + 2])
+        held, n = np.unique(three // width**2 - 1, return_counts=True)
+        at = self._entries(held)
+        around = np.bincount(self.entry[at], np.repeat(n, self.first[held + 1] - self.first[held]), len(self.names)).astype(np.int64)
         k = np.minimum(self.docs[1], around)
         n = k + self.docs[0]
         tested = np.sort(n[n >= least_docs])
@@ -226,7 +257,7 @@ def fit(rows: pd.DataFrame, *, least_docs: int = 4, chance: float = 0.1, steps:
     told[s.of_type[strong[s.entry]]] = True
     label = (told[s.x] & (np.repeat(y, s.tokens) == 1)).astype(np.int64)
     # Rare features could only learn single documents by heart.
-    number = np.full(len(s.names), -1)
+    number = np.full(len(s.names), -1, np.int32)
     kept = np.flatnonzero(s.docs.sum(0) >= least_docs)
     number[kept] = np.arange(len(kept))
     use = number[s.entry] >= 0

@@ -73,6 +73,18 @@ def test_tags_are_no_lookup():
     assert "^vilest" in told and all(f[1:].startswith("vil") or f == "=you" for f in told), told
 
 
+def test_types_sum_the_weights_of_their_features():
+    r = np.random.default_rng(3)
+    tokens = [*"a The THE, (idiot) idiots! IDIOT ... -- naïve x1y2 Ünder été's 12".split(), "abcdefghij", "abcdefghik.", "abc", "abcd"]
+    features = {f for t in tokens for part in toxicity.token_features(t) for f in part}
+    weights = {f: tuple(r.normal(size=3).tolist()) for f in sorted(features) if r.random() < 0.7}
+    types = toxicity.Types(weights)
+    for t in [*tokens, "abcde", "idiotic", "Éa"]:
+        want = np.sum([weights.get(f, (0, 0, 0)) for part in toxicity.token_features(t) for f in part], axis=0)
+        n = types[t]
+        assert np.allclose([x[n] for x in types.scores()], want), t
+
+
 def test_copies_of_a_document_tell_nothing():
     rows = [(f"plain words {i} go on here {i + 1} and some more", 0) for i in range(60)] + [("the same strange text in all copies", 1)] * 40
     model = toxicity.fit(pd.DataFrame(rows, columns=["text", "label"]))
