@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import as_text, slices, through_arrow
+from .common import as_text, give_back, slices, through_arrow
 from .labelled import sample
 
 PREFIXES = (3, 4, 5, 6, 7)
@@ -262,6 +262,10 @@ def fit(rows: pd.DataFrame, *, least_docs: int = 4, chance: float = 0.1, steps:
     number[kept] = np.arange(len(kept))
     use = number[s.entry] >= 0
     entry, of_type, k = number[s.entry[use]], s.of_type[use], len(kept)
+    names = [s.names[i] for i in kept.tolist()]
+    strong = number[strong]
+    del s.names, s.entry, s.telling, s.of_type, s.first, use, number, told
+    give_back()
     inside = np.ones(len(s.x), bool)
     inside[s.begin] = False  # a token with one before it in its chain
 
@@ -277,18 +281,20 @@ def fit(rows: pd.DataFrame, *, least_docs: int = 4, chance: float = 0.1, steps:
 
     start = np.zeros(1 + 3 * k)
     start[0] = -4.0
-    start[1 + number[strong]] = 2.0
+    start[1 + strong] = 2.0
     w, chain = crf.fit(emit, absorb, start, label, s.size, steps=steps, l2=1e-6)
     p = chain.marginals(emit(w), s.size)
     parts = w[1:].reshape(3, k).T
     heavy = np.flatnonzero(np.abs(parts).max(1) >= LEAST_WEIGHT)
-    weights = {s.names[kept[i]]: tuple(parts[i].tolist()) for i in heavy.tolist()}
+    weights = {names[i]: tuple(parts[i].tolist()) for i in heavy.tolist()}
     return Model(weights, float(w[0]), chain, _logistic(_summary(p, s.tokens), y))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: tuple[int, int] = (4000, 1000)) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: tuple[int, int] = (3000, 1000)) -> Model:
     """Fits on whole texts of at most per_class[0] clean and per_class[1] toxic labelled documents (labelled.sample)."""
-    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class))
+    model = fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, fold=fold, per_class=per_class))
+    give_back()
+    return model
 
 
 class Tagger:
