@@ -43,7 +43,7 @@ PUNCTUATION = ".,;:?!\"'()[]{}<>«»„“”‘’¡¿…*_-"
 LITERAL, NUM, NAME, UNIT = range(4)
 KNOWN = {**dict.fromkeys(NUMBER_WORDS, NUM), **dict.fromkeys(NAMES, NAME), **dict.fromkeys(UNITS, UNIT)}
 _PLACE = [xxhash.xxh64_intdigest(f"{kind}", 42) & ~3 | kind for kind in range(4)]
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Most bits of the filter that documents' windows pass before the join, 16 MB.
@@ -181,7 +181,7 @@ def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_col: s
 def _filter(items: DataFrame) -> tuple[bytes, int]:
     """A bitmap of the items' window hashes and the bits of its index; its size is bounded by FILTER_BITS."""
     n = items.select("h").distinct().count()
-    bits = min(FILTER_BITS, max(16, int(n * 64).bit_length()))
+    bits = min(FILTER_BITS, max(16, int(n * 1024).bit_length()))
     shift = 64 - bits
     places = items.select(F.shiftrightunsigned("h", shift).alias("p")).distinct()
     words = places.groupBy(F.shiftright("p", 13).alias("page")).agg(F.collect_list((F.col("p") % 8192).cast("int")).alias("at"))
