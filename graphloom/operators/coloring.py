@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import written as cut
 from .ranking import prefix_sum
 
 
@@ -29,6 +29,12 @@ def coloring(vertices: DataFrame, edges: DataFrame, seed: int = 1) -> DataFrame:
     return now
 
 
+def color_count(colors: DataFrame) -> DataFrame:
+    """(n_colors, largest): how many colors there are, and how many vertices share the most frequent one."""
+    sizes = colors.groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_colors"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+
+
 def positions(colors: DataFrame) -> DataFrame:
     """(v, color, position): places in the order of color, then id."""
     sizes = colors.groupBy("color").agg(F.count(F.lit(1)).alias("n"))

@@ -48,5 +48,10 @@ def batches(offsets: DataFrame, n_vertices: int, n_arcs: int, parts: int, device
     return [[(b[i], b[i + 1]) for b in inner] for i in range(parts)]
 
 
+def two_way(vertices: DataFrame, step: int = 7919, offset: int = 13) -> DataFrame:
+    """(v, c): a fixed assignment of vertices to communities 0 and 1, to check what takes an assignment from outside."""
+    return vertices.select("v", ((F.col("v") * step + offset) % 2).alias("c"))
+
+
 def table(spark, bounds: list[int]) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))], "b int, v_lo bigint, v_hi bigint")

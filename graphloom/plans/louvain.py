@@ -7,6 +7,7 @@ become the vertices of the next phase, if the phase as a whole gained more than
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..graph import Graph
-from ..lineage import cut
+from ..lineage import written as cut
 from ..operators import contract, degree, moves, partition
 from ..sources import text
 from . import small
@@ -23,17 +24,19 @@ from . import small
 
 @dataclass(frozen=True)
 class Result:
-    """communities (v, community); hierarchy, the same after each contraction; history of iterations; phases.
+    """communities (v, community); hierarchy, the same after each contraction; history of iterations; phases; timings of phases.
 
     q_final: modularity when the last phase ended; communities may be short of it by ``tol``, as moves
-    of a last phase that gained no more than that are not composed.
+    of a last phase that gained no more than that are not composed.  seconds: of the whole run.
     """
 
     communities: DataFrame
     hierarchy: DataFrame
     history: DataFrame
     phases: DataFrame
+    timings: DataFrame
     q_final: float | None
+    seconds: float
 
     def write_text(self, path: str) -> None:
         text.write_communities(self.communities, path)
@@ -43,14 +46,16 @@ class Result:
 class Louvain:
     """batches: vertex ranges that move one after the other (8 to 32 give better results than the default).
 
-    tol: gain in modularity below which iterations and phases end.  tie: see operators.moves.best_moves.
+    tol: gain in modularity below which iterations end; phase_tol: below which phases end, tol if None.  tie: see operators.moves.best_moves.
     devices: ranges whose batches move together.  partition_by: ``edge`` or ``vertex`` balanced ranges.
-    coloring: renumbers vertices by color first.  small_arcs: graphs of up to so many arcs, counted
-    first, run inside one task; larger ones as DataFrame supersteps, with the same results for whole weights.
+    coloring: renumbers vertices by color first.  A phase works by DataFrame supersteps.  Once contraction has left no more than
+    small_arcs arcs (counted first), which one task can hold, a phase runs the same rules inside one task: whole weights give the same
+    results to the bit, real ones but for the order in which sums are rounded.  0 never does that.
     """
 
     batches: int = 2
     tol: float = 1e-6
+    phase_tol: float | None = None
     max_iter: int = 500
     max_phases: int = 200
     tie: str = "min"
@@ -59,95 +64,119 @@ class Louvain:
     coloring: bool = False
     small_arcs: int = 4_000_000
 
-    def fit(self, graph: Graph) -> Result:
-        """Isolated vertices stay communities of their own; a graph without weight gives singletons and q null."""
+    def fit(self, graph: Graph, init: DataFrame | None = None) -> Result:
+        """Isolated vertices stay communities of their own; a graph without weight gives singletons and q null.
+
+        init: (v, c), the communities that the first phase starts from, by names from 0 to n - 1; a vertex that it lacks is in that of its own number.
+        """
+        begun = time.time()
         vertices, edges = cut(graph.vertices), cut(graph.edges)
         places = None
         if self.coloring:
             places = cut(Graph(vertices, edges).coloring())
             edges = cut(Graph(vertices, edges).reorder(places).edges)
+            if init is not None:
+                at = places.select("v", "position")
+                init = init.join(at, "v").select(F.col("position").alias("v"), "c")
         n, arcs = vertices.count(), edges.count()
-        mass = edges.agg(F.sum("w")).first()[0] or 0
-        fits = arcs <= self.small_arcs and n <= self.small_arcs and (isinstance(mass, float) or mass <= moves.LONG_MASS)
-        hierarchy, history, phases = (self._small if fits else self._large)(vertices, edges, n, arcs)
-        if places is not None:
-            hierarchy = hierarchy.join(places.select(F.col("v").alias("old"), F.col("position").alias("v")), "v").select("level", F.col("old").alias("v"), "community")
-            hierarchy = cut(hierarchy)
-        spark = vertices.sparkSession
-        top = hierarchy.agg(F.max("level")).first()[0]
-        last = vertices.select("v", F.col("v").alias("community")) if top is None else hierarchy.where(F.col("level") == top).select("v", "community")
-        return Result(last, hierarchy, spark.createDataFrame(history, schema.HISTORY), spark.createDataFrame(phases, schema.PHASES), phases[-1][2] if phases else None)
-
-    def _small(self, vertices: DataFrame, edges: DataFrame, n: int, arcs: int) -> tuple[DataFrame, list, list]:
-        options = {"batches": self.batches, "tol": self.tol, "max_iter": self.max_iter, "max_phases": self.max_phases, "tie": self.tie, "devices": self.devices, "by": self.partition_by}
-
-        def run(rows):
-            import pandas as pd
-
-            kind = rows["w"].to_numpy().dtype
-            pick = lambda x: rows[x].to_numpy()
-            real = rows["src"].to_numpy() >= 0
-            weights = pick("w")[real] if kind.kind == "f" else pick("w")[real].astype(np.int64)
-            levels, history, phases = small.fit(n, pick("src")[real], pick("dst")[real], weights, **options)
-            parts = [pd.DataFrame({"kind": "level", "a": i, "b": np.arange(n), "c": x}) for i, x in enumerate(levels)]
-            parts.append(pd.DataFrame([{"kind": "history", "a": h[0], "b": h[1], "x": h[2], "y": h[3], "z": h[4], "c": h[5], "d": h[6]} for h in history]))
-            parts.append(pd.DataFrame([{"kind": "phase", "a": p[0], "b": p[1], "x": p[2], "c": p[3], "d": p[4], "e": p[5]} for p in phases]))
-            out = pd.concat(parts)
-            return out.reindex(columns=["kind", "a", "b", "c", "d", "e", "x", "y", "z"]).astype({k: "Int64" for k in "abcde"} | {"x": "float64", "y": "float64", "z": "boolean"})
-
-        kind = dict(edges.dtypes)["w"]
-        marked = edges.unionByName(edges.sparkSession.createDataFrame([(-1, -1, 0.0 if kind == "double" else 0)], f"src bigint, dst bigint, w {kind}"))  # so that there is a group
-        found = cut(marked.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda rows: run(rows), "kind string, a bigint, b bigint, c bigint, d bigint, e bigint, x double, y double, z boolean"))
-        null = lambda x: None if x is None or x != x else x
-        history = [(r["a"], r["b"], null(r["x"]), null(r["y"]), r["z"], r["c"], r["d"]) for r in found.where("kind = 'history'").orderBy("a", "b").collect()]
-        phases = [(r["a"], r["b"], null(r["x"]), r["c"], r["d"], r["e"]) for r in found.where("kind = 'phase'").orderBy("a").collect()]
-        return found.where("kind = 'level'").select(F.col("a").cast("int").alias("level"), F.col("b").alias("v"), F.col("c").alias("community")), history, phases
-
-    def _large(self, vertices: DataFrame, edges: DataFrame, n: int, arcs: int) -> tuple[DataFrame, list, list]:
+        state = vertices.select("v", F.col("v").alias("c"))
+        if init is not None:
+            state = state.select("v").join(init.select("v", "c"), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
         history: list[tuple] = []
         phases: list[tuple] = []
+        timings: list[tuple] = []
         levels: list[DataFrame] = []
         composed = vertices.select("v", F.col("v").alias("community"))
+        least = self.tol if self.phase_tol is None else self.phase_tol
+        original, given = vertices, init is not None
         for phase in range(self.max_phases):
-            m2 = edges.agg(F.sum("w")).first()[0] or 0
-            state = cut(moves.singletons(degree.weighted_degrees(vertices, edges)))
-            q = before = moves.modularity(edges, state).first()["q"]
+            clock = time.time()
+            mass = edges.agg(F.sum("w")).first()[0] or 0
+            fits = arcs <= self.small_arcs and n <= self.small_arcs and (isinstance(mass, float) or mass <= moves.LONG_MASS)
+            state, before, q, rows = (self._small if fits else self._large)(vertices, edges, state, n, arcs, mass)
+            moved = time.time() - clock
+            history += [(phase, *r, n, arcs) for r in rows]
             if q is None:
-                history.append((phase, 1, None, None, True, n, arcs))
                 phases.append((phase, 1, None, n, arcs, n))
+                timings.append((phase, 1, moved, 0.0))
                 break
-            parts = partition.batches(cut(degree.csr_offsets(vertices, edges)), n, arcs, self.batches, self.devices, self.partition_by)
-            loops, gain = 0, float("inf")
-            while gain > self.tol and loops < self.max_iter:
-                old = state
-                for ranges in parts:
-                    held = [r for r in ranges if r[0] < r[1]]
-                    if held:
-                        inside = F.lit(False)
-                        for lo, hi in held:
-                            inside = inside | F.col("v").between(lo, hi - 1)
-                        state = cut(moves.superstep(edges, state, m2, inside, self.tie))
-                now = moves.modularity(edges, state).first()["q"]
-                gain, loops = now - q, loops + 1
-                history.append((phase, loops, now, gain, gain >= 0, n, arcs))
-                if gain < 0:
-                    state = old
-                else:
-                    q = now
             names = cut(contract.relabel(state))
             count = names.count()
-            phases.append((phase, loops, q, n, arcs, count))
-            if not q - before > self.tol:
+            phases.append((phase, len(rows), q, n, arcs, count))
+            # Communities from outside are a result of the first phase even if nothing moved.
+            ended = not q - before > least and not (given and phase == 0)
+            clock = time.time()
+            if not ended:
+                composed = cut(contract.compose(composed, state, names))
+                levels.append(composed.select(F.lit(len(levels)).alias("level"), "v", "community"))
+                ended = count in (n, 1)
+            if not ended:
+                edges = cut(contract.contract(edges, state, names))
+                vertices = names.select(F.col("id").alias("v"))
+                n, arcs = count, edges.count()
+                state = vertices.select("v", F.col("v").alias("c"))
+            timings.append((phase, len(rows), moved, time.time() - clock))
+            if ended:
                 break
-            composed = cut(contract.compose(composed, state, names))
-            levels.append(composed.select(F.lit(len(levels)).alias("level"), "v", "community"))
-            if count in (n, 1):
-                break
-            edges = cut(contract.contract(edges, state, names))
-            vertices = names.select(F.col("id").alias("v"))
-            n, arcs = count, edges.count()
-        spark = vertices.sparkSession
+        spark = original.sparkSession
         hierarchy = levels[0] if levels else spark.createDataFrame([], schema.HIERARCHY)
         for x in levels[1:]:
             hierarchy = hierarchy.unionByName(x)
-        return hierarchy, history, phases
+        if places is not None:
+            hierarchy = cut(hierarchy.join(places.select(F.col("v").alias("old"), F.col("position").alias("v")), "v").select("level", F.col("old").alias("v"), "community"))
+        last = hierarchy.where(F.col("level") == len(levels) - 1).select("v", "community") if levels else original.select("v", F.col("v").alias("community"))
+        frames = (spark.createDataFrame(rows, layout) for rows, layout in ((history, schema.HISTORY), (phases, schema.PHASES), (timings, schema.TIMINGS)))
+        return Result(last, hierarchy, *frames, phases[-1][2] if phases else None, time.time() - begun)
+
+    def _small(self, vertices: DataFrame, edges: DataFrame, state: DataFrame, n: int, arcs: int, mass) -> tuple[DataFrame, float | None, float | None, list]:
+        """One phase inside one task; its bounded input was counted."""
+        options = {"batches": self.batches, "tol": self.tol, "max_iter": self.max_iter, "tie": self.tie, "devices": self.devices, "by": self.partition_by}
+
+        def run(rows):
+            import pandas as pd
+
+            pick = lambda x, y: x[y].to_numpy()
+            arcs, held = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+            weights = pick(arcs, "w")
+            c = np.arange(n)
+            c[pick(held, "src")] = pick(held, "dst")
+            c, before, q, history = small.phase(n, pick(arcs, "src"), pick(arcs, "dst"), weights if weights.dtype.kind == "f" else weights.astype(np.int64), c, **options)
+            parts = [pd.DataFrame({"kind": "state", "a": np.arange(n), "b": c}), pd.DataFrame([{"kind": "q", "x": before, "y": q}])]
+            parts.append(pd.DataFrame([{"kind": "history", "a": h[0], "x": h[1], "y": h[2], "z": h[3]} for h in history]))
+            return pd.concat(parts).reindex(columns=["kind", "a", "b", "x", "y", "z"]).astype({"a": "Int64", "b": "Int64", "x": "float64", "y": "float64", "z": "boolean"})
+
+        kind = dict(edges.dtypes)["w"]
+        both = edges.select(F.lit(0).alias("kind"), "src", "dst", "w").unionByName(state.select(F.lit(1).alias("kind"), F.col("v").alias("src"), F.col("c").alias("dst"), F.lit(0).cast(kind).alias("w")))
+        both = both.unionByName(edges.sparkSession.createDataFrame([(2, 0, 0, 0.0 if kind == "double" else 0)], f"kind int, src bigint, dst bigint, w {kind}"))  # so that there is a group
+        found = cut(both.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda rows: run(rows), "kind string, a bigint, b bigint, x double, y double, z boolean"))
+        null = lambda x: None if x is None or x != x else x
+        q = found.where("kind = 'q'").first()
+        rows = [(r["a"], null(r["x"]), null(r["y"]), r["z"]) for r in found.where("kind = 'history'").orderBy("a").collect()]
+        return found.where("kind = 'state'").select(F.col("a").alias("v"), F.col("b").alias("c")), null(q["x"]), null(q["y"]), rows
+
+    def _large(self, vertices: DataFrame, edges: DataFrame, state: DataFrame, n: int, arcs: int, mass) -> tuple[DataFrame, float | None, float | None, list]:
+        """One phase by supersteps.  The arcs of each batch are written once, so that an iteration reads every arc once."""
+        state = cut(degree.weighted_degrees(vertices, edges).join(state.select("v", "c"), "v"))
+        q = before = moves.modularity(edges, state).first()["q"]
+        if q is None:
+            return state, None, None, [(1, None, None, True)]
+        batches = []
+        for ranges in partition.batches(cut(degree.csr_offsets(vertices, edges)), n, arcs, self.batches, self.devices, self.partition_by):
+            held = [r for r in ranges if r[0] < r[1]]
+            if held:
+                inside = lambda x, held=held: F.array_max(F.array(*[F.col(x).between(lo, hi - 1) for lo, hi in held]))
+                batches.append((cut(edges.where(inside("src")).repartition("src")), inside("v")))
+        rows: list[tuple] = []
+        gain = float("inf")
+        while gain > self.tol and len(rows) < self.max_iter:
+            old = state
+            for own, movers in batches:
+                state = cut(moves.superstep(own, state, mass, movers, self.tie))
+            now = moves.modularity(edges, state).first()["q"]
+            gain = now - q
+            rows.append((len(rows) + 1, now, gain, gain >= 0))
+            if gain < 0:
+                state = old
+            else:
+                q = now
+        return state, before, q, rows

@@ -81,48 +81,72 @@ def modularity(p: str, g: str = "g") -> str:
     )
 
 
-def iteration(p: str, out: str, bounds: list[str], count: str, g: str = "g", mass: str = "mm") -> str:
-    """CTEs of all batches, from state p to state out."""
-    edges = ["0", *[f"(SELECT cutoff FROM {b})" for b in bounds], f"(SELECT nv FROM {count})"]
+def iteration(p: str, out: str, batches: list[str], g: str = "g", mass: str = "mm", tie: str = "min") -> str:
+    """CTEs of all batches, from state p to state out; batches: SQL of the condition on each one's movers x.v."""
     ctes, now = [], p
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        name = out if i == len(edges) - 2 else f"{out}_{i}"
-        ctes.append(superstep(now, name, f"x.v >= {lo} AND x.v < {hi}", g, mass))
+    for i, where in enumerate(batches):
+        name = out if i == len(batches) - 1 else f"{out}_{i}"
+        ctes.append(superstep(now, name, where, g, mass, tie))
         now = name
     return ",".join(ctes)
 
 
-def louvain(base: str, batches: int, phases: int, loops: int, tol: float = 1e-6) -> tuple[str, str, str]:
-    """(CTEs, name of the last composition, SQL of the history) of at most ``phases`` phases of ``loops`` iterations.
+def ranges(bounds: list[str], lo: str, hi: str) -> list[str]:
+    """Conditions of the ranges between bounds, from lo to hi, all of them SQL of one value."""
+    edges = [lo, *bounds, hi]
+    return [f"(x.v >= {a} AND x.v < {b})" for a, b in zip(edges, edges[1:])]
 
-    Control rows carry on unchanged once an end is reached; SQL has no loop over aggregates, so the
+
+def batched(g: str, v: str, parts: int, devices: int, tag: str) -> tuple[str, list[str]]:
+    """CTEs of the bounds and the condition of each batch: the same range of every device's vertices."""
+    outer, names = cut_chain(g, v, devices, f"{tag}")
+    marks = ["0", *[f"(SELECT cutoff FROM {b})" for b in names], f"(SELECT nv FROM {tag}n)"]
+    ctes, each = [outer], []
+    for d, (lo, hi) in enumerate(zip(marks, marks[1:])):
+        t = f"{tag}d{d}"
+        ctes.append(f"{t}v AS MATERIALIZED (SELECT v - {lo} AS v FROM {v} WHERE v >= {lo} AND v < {hi})")
+        ctes.append(f"{t}g AS MATERIALIZED (SELECT src - {lo} AS src FROM {g} WHERE src >= {lo} AND src < {hi})")
+        chain, inner = cut_chain(f"{t}g", f"{t}v", parts, t)
+        ctes.append(chain)
+        each.append(ranges([f"({lo} + (SELECT cutoff FROM {b}))" for b in inner], lo, hi))
+    return ",\n".join(ctes), [" OR ".join(x) for x in zip(*each)]
+
+
+def louvain(base: str, batches: int, phases: int, loops: int, tol: float = 1e-6, tie: str = "min", devices: int = 1, init: str = "v") -> tuple[str, str, str, str]:
+    """(CTEs, name of the last composition, SQL of the history, SQL of the phases) of at most ``phases`` phases of ``loops`` iterations.
+
+    init: SQL of the first phase's communities.  Control rows carry on unchanged once an end is reached; SQL has no loop over aggregates, so the
     bounds must be no less than what the data needs.
     """
     ctes = [base + MASS, "h_0 AS (SELECT v, v AS community, 0 AS levels FROM vv)", "live_0 AS (SELECT true AS live)"]
-    g, verts, history = "g", "vv", []
+    g, verts, history, told = "g", "vv", [], []
     for f in range(phases):
         t = f"f{f}"
+        own = init if f == 0 else "v"
         ctes.append(f"{t}k AS MATERIALIZED (SELECT v, coalesce(sum(w), 0)::BIGINT AS k FROM {verts} LEFT JOIN {g} ON src = v GROUP BY v)")
         ctes.append(f"{t}mm AS MATERIALIZED (SELECT sum(k)::BIGINT AS m2 FROM {t}k)")
-        chain, bounds = cut_chain(g, verts, batches, t)
-        ctes += [chain, f"{t}p0 AS MATERIALIZED (SELECT v, k, v AS c FROM {t}k)"]
-        ctes.append(f"{t}c0 AS MATERIALIZED (SELECT {modularity(f'{t}p0', g)} AS q, 1e300 AS gain, live AS running, NULL::DOUBLE AS seen FROM live_{f})")
+        chain, where = batched(g, verts, batches, devices, t)
+        ctes += [chain, f"{t}p0 AS MATERIALIZED (SELECT v, k, {own} AS c FROM {t}k)"]
+        ctes.append(f"{t}c0 AS MATERIALIZED (SELECT {modularity(f'{t}p0', g)} AS q, 1e300 AS gain, live AS running, NULL::DOUBLE AS seen, 0 AS ran FROM live_{f})")
         for i in range(1, loops + 1):
-            ctes.append(iteration(f"{t}p{i - 1}", f"{t}r{i}", bounds, f"{t}n", g, f"{t}mm"))
+            ctes.append(iteration(f"{t}p{i - 1}", f"{t}r{i}", where, g, f"{t}mm", tie))
             ctes.append(f"{t}q{i} AS MATERIALIZED (SELECT {modularity(f'{t}r{i}', g)} AS q)")
             ctes.append(
                 f"{t}c{i} AS MATERIALIZED (SELECT CASE WHEN c.running AND c.gain > {tol} AND n.q >= c.q THEN n.q ELSE c.q END AS q, "
-                f"CASE WHEN c.running AND c.gain > {tol} THEN n.q - c.q ELSE c.gain END AS gain, c.running AND c.gain > {tol} AS running, n.q AS seen FROM {t}c{i - 1} c, {t}q{i} n)"
+                f"CASE WHEN c.running AND c.gain > {tol} THEN n.q - c.q ELSE c.gain END AS gain, c.running AND c.gain > {tol} AS running, n.q AS seen, "
+                f"ran + (c.running AND c.gain > {tol})::INT AS ran FROM {t}c{i - 1} c, {t}q{i} n)"
             )
             ctes.append(f"{t}p{i} AS MATERIALIZED (SELECT x.v, x.k, CASE WHEN running AND gain >= 0 THEN y.c ELSE x.c END AS c FROM {t}p{i - 1} x JOIN {t}r{i} y USING (v), {t}c{i})")
             history.append(f"SELECT {f}::INT AS phase, {i}::INT AS loop, seen AS q, gain AS dq, gain >= 0 AS accepted, nv AS n_vertices, ne AS n_arcs FROM {t}c{i}, {t}n WHERE running")
         end = f"{t}p{loops}"
+        keep = "live" if f == 0 and init != "v" else f"live AND z.q - a.q > {tol}"
         ctes.append(f"{t}w AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY c) - 1 AS id FROM (SELECT DISTINCT c FROM {end}))")
-        ctes.append(f"{t}up AS MATERIALIZED (SELECT live AND z.q - a.q > {tol} AS up FROM live_{f}, {t}c{loops} z, {t}c0 a)")
+        ctes.append(f"{t}up AS MATERIALIZED (SELECT {keep} AS up FROM live_{f}, {t}c{loops} z, {t}c0 a)")
         ctes.append(f"{t}to AS MATERIALIZED (SELECT v, id FROM {end} JOIN {t}w USING (c))")
         ctes.append(f"h_{f + 1} AS MATERIALIZED (SELECT h.v, CASE WHEN up THEN id ELSE community END AS community, levels + up::INT AS levels FROM h_{f} h LEFT JOIN {t}to n ON n.v = h.community, {t}up)")
         ctes.append(f"live_{f + 1} AS MATERIALIZED (SELECT up AND (SELECT count(*) FROM {t}w) NOT IN (1, nv) AS live FROM {t}up, {t}n)")
         ctes.append(f"{t}g AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, sum(w)::BIGINT AS w FROM {g} JOIN {t}to a ON a.v = src JOIN {t}to b ON b.v = dst GROUP BY ALL)")
         ctes.append(f"{t}v AS MATERIALIZED (SELECT id AS v FROM {t}w)")
+        told.append(f"SELECT {f}::INT AS phase, ran::INT AS loops, q, nv AS n_vertices, ne AS n_arcs, (SELECT count(*) FROM {t}w) AS n_communities FROM {t}c{loops}, {t}n, live_{f} WHERE live")
         g, verts = f"{t}g", f"{t}v"
-    return "WITH " + ",\n".join(ctes), f"h_{phases}", "\nUNION ALL ".join(history)
+    return "WITH " + ",\n".join(ctes), f"h_{phases}", "\nUNION ALL ".join(history), "\nUNION ALL ".join(told)

@@ -44,6 +44,11 @@ def _supp(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(*tables.supp_co_order(spark, sf_dir))
 
 
+def _kept(g: Graph) -> Graph:
+    """The graph with its arcs written once, for queries that read them more than once."""
+    return Graph(g.vertices, cut(g.edges))
+
+
 def _mod5(g: Graph) -> DataFrame:
     """A fixed state of five communities."""
     return cut(g.weighted_degrees().select("v", "k", (F.col("v") % 5).alias("c")))
@@ -200,7 +205,7 @@ def singleton_partition(spark, sf_dir):
 
 @register(query(PART, "SELECT v, (v * 7919 + 13) % 2 AS c FROM vv"))
 def two_way_partition(spark, sf_dir):
-    return _part(spark, sf_dir).vertices.select("v", ((F.col("v") * 7919 + 13) % 2).alias("c"))
+    return partition.two_way(_part(spark, sf_dir).vertices)
 
 
 @register(query(PART, "SELECT c, sum(k)::BIGINT AS a FROM p5 GROUP BY c"))
@@ -210,19 +215,19 @@ def community_weights(spark, sf_dir):
 
 @register(query(PART, "SELECT src, c, CASE WHEN src = dst THEN 0 ELSE w END AS w FROM g JOIN p5 ON v = dst"))
 def gather_neighbour_communities(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.gather(g.edges, _mod5(g))
 
 
 @register(query(PART, "SELECT src, c, sum(CASE WHEN src = dst THEN 0 ELSE w END)::BIGINT AS e FROM g JOIN p5 ON v = dst GROUP BY ALL"))
 def neighbour_community_sums(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.neighbour_sums(g.edges, _mod5(g))
 
 
 @register(query(PART, "SELECT src, count(DISTINCT c) AS n FROM g JOIN p5 ON v = dst GROUP BY ALL"))
 def distinct_neighbour_communities(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.distinct_communities(g.edges, _mod5(g))
 
 
@@ -231,56 +236,56 @@ _STEP = "," + oracle.superstep("p5", "z", "true")
 
 @register(query(PART, "SELECT v, c, s::BIGINT AS s FROM zs", _STEP))
 def move_scores(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.move_scores(g.edges, _mod5(g), _m2(g)).select("v", "c", F.col("s").cast("bigint").alias("s"))
 
 
 @register(query(PART, "SELECT v, c AS best_c, s::BIGINT AS best_s FROM zt WHERE place = 1", _STEP))
 def best_moves(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.best_moves(moves.move_scores(g.edges, _mod5(g), _m2(g))).where("best_c IS NOT NULL").select("v", "best_c", F.col("best_s").cast("bigint").alias("best_s"))
 
 
 @register(query(NATION, "SELECT v, c AS best_c FROM zt WHERE place = 1", "," + oracle.superstep("p0", "z", "true", tie="lane")))
 def best_moves_lane(spark, sf_dir):
-    g = _nation(spark, sf_dir)
+    g = _kept(_nation(spark, sf_dir))
     return moves.best_moves(moves.move_scores(g.edges, moves.singletons(g.weighted_degrees()), _m2(g)), tie="lane").where("best_c IS NOT NULL").select("v", "best_c")
 
 
 @register(query(PART, "SELECT v, c AS c_new FROM zm", _STEP))
 def superstep_moves(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.moves(g.edges, _mod5(g), _m2(g), F.lit(True))
 
 
 @register(query(PART, "SELECT c, sum(d)::BIGINT AS delta FROM (SELECT p.c, -p.k AS d FROM zm m JOIN p5 p USING (v) UNION ALL SELECT m.c, p.k FROM zm m JOIN p5 p USING (v)) GROUP BY c", _STEP))
 def community_weight_delta(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     state = _mod5(g)
     return moves.weight_deltas(state, moves.moves(g.edges, state, _m2(g), F.lit(True)))
 
 
 @register(query(PART, "SELECT v, k, c FROM z", _STEP))
 def apply_moves(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.superstep(g.edges, _mod5(g), _m2(g), F.lit(True))
 
 
 @register(query(PART, f"SELECT {oracle.modularity('p0')} AS q"))
 def modularity_singleton(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.modularity(g.edges, moves.singletons(g.weighted_degrees()))
 
 
 @register(query(PART, f"SELECT {oracle.modularity('p5')} AS q"))
 def modularity_given_partition(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     return moves.modularity(g.edges, _mod5(g))
 
 
 @register(query(PART, f"SELECT {oracle.modularity('p5')} AS q_before, {oracle.modularity('z')} AS q_after", _STEP))
 def modularity_delta(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     state = _mod5(g)
     after = moves.modularity(g.edges, cut(moves.superstep(g.edges, state, _m2(g), F.lit(True))))
     both = moves.modularity(g.edges, state).select(F.col("q").alias("q_before"), F.lit(None).cast("double").alias("q_after")).unionByName(after.select(F.lit(None).cast("double").alias("q_before"), F.col("q").alias("q_after")))
@@ -307,7 +312,7 @@ def _iterations_sql(base: str, batches: int, times: int) -> str:
     chain, names = oracle.cut_chain("g", "vv", batches, "y")
     steps, now = [], "p0"
     for i in range(times):
-        steps.append(oracle.iteration(now, f"i{i}", names, "yn"))
+        steps.append(oracle.iteration(now, f"i{i}", oracle.ranges([f"(SELECT cutoff FROM {b})" for b in names], "0", "(SELECT nv FROM yn)")))
         now = f"i{i}"
     return query(base, f"SELECT v, k, c FROM {now}", ",\n" + chain + "," + ",".join(steps))
 
@@ -332,7 +337,7 @@ def relabel_dense(spark, sf_dir):
 
 @register(query(PART, "SELECT x.c AS src, y.c AS dst, sum(w)::BIGINT AS w FROM g JOIN p5 x ON x.v = src JOIN p5 y ON y.v = dst GROUP BY ALL"))
 def contract_graph(spark, sf_dir):
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     state = _mod5(g)
     return contract.contract(g.edges, state, contract.relabel(state))
 
@@ -348,7 +353,7 @@ def compose_levels(spark, sf_dir):
 @register(query(PART, f"SELECT {oracle.modularity('p5')} AS q"))
 def coarse_modularity(spark, sf_dir):
     """Singletons of the contracted graph have the modularity of the communities before."""
-    g = _part(spark, sf_dir)
+    g = _kept(_part(spark, sf_dir))
     state = _mod5(g)
     names = cut(contract.relabel(state))
     coarse = Graph(names.select(F.col("id").alias("v")), cut(contract.contract(g.edges, state, names)))
@@ -358,9 +363,10 @@ def coarse_modularity(spark, sf_dir):
 # Whole runs
 
 
-def _louvain_sql(kind: str) -> str:
-    ctes, last, history = oracle.louvain(NATION, 2, 5, 4)
-    return f"{ctes}\n" + (f"SELECT v, community FROM {last}" if kind == "communities" else history)
+def _louvain_sql(kind: str, **options) -> str:
+    ctes, last, history, phases = oracle.louvain(NATION, options.pop("batches", 2), 5, options.pop("loops", 4), **options)
+    hierarchy = "\nUNION ALL ".join(f"SELECT {f}::INT AS level, v, community FROM h_{f + 1} WHERE levels = {f + 1}" for f in range(5))
+    return f"{ctes}\n" + {"communities": f"SELECT v, community FROM {last}", "history": history, "hierarchy": hierarchy, "phases": phases}[kind]
 
 
 @register(_louvain_sql("communities"))
@@ -373,6 +379,43 @@ def louvain_history(spark, sf_dir):
     return Louvain(batches=2).fit(_nation(spark, sf_dir)).history
 
 
+@register(_louvain_sql("communities"))
+def louvain_supersteps(spark, sf_dir):
+    """The same run by DataFrame supersteps in every phase."""
+    return Louvain(batches=2, small_arcs=0).fit(_nation(spark, sf_dir)).communities
+
+
+@register(_louvain_sql("hierarchy"))
+def louvain_nation_hierarchy(spark, sf_dir):
+    return Louvain(batches=2).fit(_nation(spark, sf_dir)).hierarchy
+
+
+@register(_louvain_sql("phases"))
+def louvain_nation_phases(spark, sf_dir):
+    return Louvain(batches=2).fit(_nation(spark, sf_dir)).phases
+
+
+@register(_louvain_sql("communities", tie="lane"))
+def louvain_nation_lanes(spark, sf_dir):
+    return Louvain(batches=2, tie="lane").fit(_nation(spark, sf_dir)).communities
+
+
+@register(_louvain_sql("communities", devices=2))
+def louvain_nation_devices(spark, sf_dir):
+    return Louvain(batches=2, devices=2).fit(_nation(spark, sf_dir)).communities
+
+
+@register(_louvain_sql("communities", init="v % 5"))
+def louvain_from_partition(spark, sf_dir):
+    g = _nation(spark, sf_dir)
+    return Louvain(batches=2).fit(g, init=g.vertices.select("v", (F.col("v") % 5).alias("c"))).communities
+
+
+@register()
+def louvain_timings(spark, sf_dir):
+    return Louvain(batches=2).fit(_nation(spark, sf_dir)).timings
+
+
 @register()
 def louvain_hierarchy(spark, sf_dir):
     return Louvain(batches=8).fit(_part(spark, sf_dir)).hierarchy
@@ -419,6 +462,19 @@ def coloring_conflicts(spark, sf_dir):
     return near.agg(F.count_if(F.col("a") == F.col("b")).alias("conflicts"))
 
 
+@register(query(PART, "SELECT (src * 7919 + 13) % n AS src, (dst * 7919 + 13) % n AS dst, w FROM g, (SELECT count(*) AS n FROM vv)"))
+def reorder_graph(spark, sf_dir):
+    """7919 is prime and divides no number of vertices here, so the positions are a permutation."""
+    g = _part(spark, sf_dir)
+    return g.reorder(g.vertices.select("v", ((F.col("v") * 7919 + 13) % g.num_vertices()).alias("position"))).edges
+
+
+@register()
+def color_count(spark, sf_dir):
+    g = Graph(*generate.planted_partition(spark))
+    return coloring.color_count(coloring.coloring(g.vertices, g.edges))
+
+
 @register("SELECT count(*) AS n, sum(range)::BIGINT AS total FROM range(40)")
 def reorder_by_color(spark, sf_dir):
     """Positions are a permutation."""
@@ -463,3 +519,19 @@ def validate(spark, sf_dir):
 
     g = _nation(spark, sf_dir)
     return schema.problems(g.vertices, g.edges)
+
+
+@register(
+    query(
+        NATION,
+        """SELECT * FROM (VALUES ('null vertex', 0::BIGINT), ('null end', 0), ('bad weight', (SELECT count(*) FROM g WHERE src % 3 = 0)), ('unknown vertex', (SELECT count(*) FROM g WHERE src % 4 = 0) + (SELECT count(*) FROM g WHERE dst % 4 = 0)),
+  ('asymmetric arc', (SELECT count(*) FROM g WHERE src % 3 = 0 AND w <> 0 AND NOT (src = dst) AND dst % 3 <> 0) * 2)) AS t(problem, n)""",
+    )
+)
+def validate_broken(spark, sf_dir):
+    """Arcs from every third vertex lose their weight's sign, and every fourth vertex is missing."""
+    from .. import schema
+
+    g = _nation(spark, sf_dir)
+    edges = g.edges.withColumn("w", F.when(F.col("src") % 3 == 0, -F.col("w") - 1).otherwise(F.col("w")))
+    return schema.problems(g.vertices.where("v % 4 <> 0"), edges)

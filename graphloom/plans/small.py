@@ -86,50 +86,28 @@ def step(start: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, k:
     return new
 
 
-def fit(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, *, batches: int, tol: float, max_iter: int, max_phases: int, tie: str, devices: int, by: str) -> tuple[list[np.ndarray], list[tuple], list[tuple]]:
-    """Communities of the original vertices after each contraction, and the rows of history and phases."""
-    levels: list[np.ndarray] = []
+def phase(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, c: np.ndarray, *, batches: int, tol: float, max_iter: int, tie: str, devices: int, by: str) -> tuple[np.ndarray, float | None, float | None, list[tuple]]:
+    """Of one phase that starts from assignment c: the last assignment, the modularity before and after, and rows (loop, q, gain, accepted)."""
+    order = np.argsort(src, kind="stable")
+    src, dst, w = src[order], dst[order], w[order]
+    degree = np.bincount(src, minlength=n)
+    start = np.concatenate([[0], np.cumsum(degree)])
+    k = _sums(src, w, n)
+    m2 = k.sum()
+    q = before = modularity(src, dst, w, k, c)
+    if q is None:
+        return c, None, None, [(1, None, None, True)]
     history: list[tuple] = []
-    phases: list[tuple] = []
-    composed = np.arange(n)
-    for phase in range(max_phases):
-        order = np.argsort(src, kind="stable")
-        src, dst, w = src[order], dst[order], w[order]
-        degree = np.bincount(src, minlength=n)
-        start = np.concatenate([[0], np.cumsum(degree)])
-        k = _sums(src, w, n)
-        m2 = k.sum()
-        c = np.arange(n)
-        q = before = modularity(src, dst, w, k, c)
-        if q is None:
-            history.append((phase, 1, None, None, True, n, len(src)))
-            phases.append((phase, 1, None, n, len(src), n))
-            break
-        parts, loops, gain = windows(degree, batches, devices, by), 0, np.inf
-        while gain > tol and loops < max_iter:
-            old = c
-            for ranges in parts:
-                c = step(start, src, dst, w, k, c, m2, ranges, tie)
-            now = modularity(src, dst, w, k, c)
-            gain, loops = now - q, loops + 1
-            history.append((phase, loops, now, gain, gain >= 0, n, len(src)))
-            if gain < 0:
-                c = old
-            else:
-                q = now
-        ids, dense = np.unique(c, return_inverse=True)
-        phases.append((phase, loops, q, n, len(src), len(ids)))
-        if not q - before > tol:
-            break
-        composed = dense[composed]
-        levels.append(composed)
-        if len(ids) in (n, 1):
-            break
-        key = dense[src] * len(ids) + dense[dst]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        w = np.add.reduceat(w[order], first) if len(first) else w[:0]
-        src, dst = np.divmod(key[first], len(ids))
-        n = len(ids)
-    return levels, history, phases
+    parts, gain = windows(degree, batches, devices, by), np.inf
+    while gain > tol and len(history) < max_iter:
+        old = c
+        for ranges in parts:
+            c = step(start, src, dst, w, k, c, m2, ranges, tie)
+        now = modularity(src, dst, w, k, c)
+        gain = now - q
+        history.append((len(history) + 1, now, gain, gain >= 0))
+        if gain < 0:
+            c = old
+        else:
+            q = now
+    return c, before, q, history

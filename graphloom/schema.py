@@ -11,6 +11,7 @@ EDGES_REAL = "src bigint, dst bigint, w double"
 COMMUNITIES = "v bigint, community bigint"
 HIERARCHY = "level int, v bigint, community bigint"
 HISTORY = "phase int, loop int, q double, dq double, accepted boolean, n_vertices bigint, n_arcs bigint"
+TIMINGS = "phase int, loops int, move_seconds double, contract_seconds double"
 PHASES = "phase int, loops int, q double, n_vertices bigint, n_arcs bigint, n_communities bigint"
 
 

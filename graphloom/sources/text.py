@@ -26,12 +26,12 @@ def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_mtx(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """A general coordinate file with every arc, written as one part."""
+    """A general coordinate file with every arc; its first part is the head."""
     spark = edges.sparkSession
     n, ne = vertices.count(), edges.count()
     head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{n} {n} {ne}")], "o bigint, value string")
     rows = edges.select(F.lit(2).cast("bigint").alias("o"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "w").alias("value"))
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    head.coalesce(1).sortWithinPartitions("o").unionByName(rows).select("value").write.mode("overwrite").text(path)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from graphloom.graph import Graph
 from graphloom.operators import coloring, contract, degree, moves, partition
 from graphloom.plans import small
 from graphloom.plans.louvain import Louvain
-from graphloom.sources import generate, tables
+from graphloom.sources import binary, generate, tables
 
 KARATE = (
     "1-0 2-0 2-1 3-0 3-1 3-2 4-0 5-0 6-0 6-4 6-5 7-0 7-1 7-2 7-3 8-0 8-2 9-2 10-0 10-4 10-5 11-0 12-0 12-3 13-0 13-1 13-2 13-3 16-5 16-6 17-0 17-1 19-0 19-1 21-0 21-1 25-23 25-24 "
@@ -83,6 +83,7 @@ def test_bounds(spark):
     g = made(spark, TRIANGLES)
     offsets = g.csr_offsets()
     assert partition.edge_balanced(offsets, 6, 14, 2) == [0, 4, 6] and partition.edge_balanced(offsets, 6, 14, 8) == [0, 1, 2, 3, 4, 5, 6, 6, 6]
+    assert partition.two_way(g.vertices).agg(F.sum("c")).first()[0] == 3
     assert small.cuts(np.array([2, 2, 3, 3, 2, 2]), 8) == [0, 1, 2, 3, 4, 5, 6, 6, 6] and small.cuts(np.array([1, 1]), 2) == [0, 2, 2]
     for devices, by in ((1, "edge"), (2, "edge"), (2, "vertex")):
         assert partition.batches(offsets, 6, 14, 2, devices, by) == small.windows(np.array([2, 2, 3, 3, 2, 2]), 2, devices, by)
@@ -142,6 +143,30 @@ def test_formats(spark, tmp_path):
     assert sorted(tuple(r) for r in csr.edges.collect()) == [(0, 1, 5), (1, 0, 5), (1, 2, 7)] and csr.num_vertices() == 3
 
 
+def test_binary_blocks_cut_hubs_and_slices_start_above_zero(spark, tmp_path):
+    hub = made(spark, [(0, i) for i in range(1, 40)] + [(45, 46)], 50)
+    want = sorted(tuple(r) for r in hub.edges.collect())
+    hub.write_binary(f"{tmp_path}/h.bin")
+    for block in (7, 1000):
+        vertices, edges = binary.read(spark, f"{tmp_path}/h.bin", block)
+        assert sorted((r["src"], r["dst"], int(r["w"])) for r in edges.collect()) == want and vertices.count() == 50
+    records = np.array([(1, 2.0), (0, 3.0)], binary.RECORD)
+    (tmp_path / "s.bin").write_bytes(np.array([2, 2, 100, 101, 102], "<i8").tobytes() + records.tobytes())
+    assert sorted(tuple(r) for r in binary.read(spark, f"{tmp_path}/s.bin")[1].collect()) == [(0, 1, 2.0), (1, 0, 3.0)]
+    made(spark, [], 0).write_binary(f"{tmp_path}/e.bin")
+    assert binary.read(spark, f"{tmp_path}/e.bin")[1].count() == 0
+
+
+def test_assignment_from_outside(spark):
+    g = made(spark, TRIANGLES)
+    given = spark.createDataFrame([(v, v // 3 * 3) for v in range(6)], "v bigint, c bigint")
+    for limit in (0, 100):
+        r = Louvain(batches=1, small_arcs=limit).fit(g, init=given)
+        assert labels(r) == [0, 0, 0, 1, 1, 1] and r.timings.count() == r.phases.count() and r.seconds > 0
+    assert Louvain(batches=8, phase_tol=0.9).fit(g).phases.count() == 1
+    assert coloring.color_count(spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "v bigint, color bigint")).first()[:] == (2, 2)
+
+
 def test_random_graphs(spark):
     g = Graph.random_ba(spark, 300, 3, seed=5)
     assert g.num_edges() == 2 * 3 * 297 and g.validate() and sorted(map(tuple, g.edges.collect())) == sorted(map(tuple, Graph.random_ba(spark, 300, 3, seed=5).edges.collect()))
