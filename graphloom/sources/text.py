@@ -12,7 +12,10 @@ def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     banner = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
     symmetric = banner is not None and "symmetric" in banner[0].lower()
     body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    size = body.first()[0].split()  # the first line of the body has the counts
+    # The first line of the body of the first file has the counts.
+    placed = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    first = placed.agg(F.min("file")).first()[0]
+    size = placed.where((F.col("file") == first) & (F.col("start") == 0) & ~F.col("value").startswith("%") & (F.trim("value") != "")).first()[0].split()
     part = F.split(F.trim("value"), r"\s+")
     entries = body.where(F.trim("value") != " ".join(size)) if len(size) == 3 else body
     same = body.count() - entries.count()
