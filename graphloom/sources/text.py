@@ -51,9 +51,11 @@ def write_communities(communities: DataFrame, path: str) -> None:
 
 
 def read_communities(spark: SparkSession, path: str) -> DataFrame:
-    """(v, community) of write_communities(): a line's place in its part, after the lines of the parts before."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    placed = lines.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "community")).where("community <> ''")
-    sizes = placed.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
-    return placed.join(sizes.withColumn("before", before), "file").select((F.col("before") + F.col("i")).alias("v"), F.col("community").cast("bigint").alias("community"))
+    """(v, community) of write_communities(): a line's place in its block of a file, after the lines of the blocks before."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    block = Window.partitionBy("file", "start")
+    placed = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("i", F.row_number().over(block.orderBy("at")) - 1)
+    sizes = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a block
+    numbered = placed.where("value <> ''").join(sizes.withColumn("before", before), ["file", "start"])
+    return numbered.select((F.col("before") + F.col("i")).alias("v"), F.col("value").cast("bigint").alias("community"))
