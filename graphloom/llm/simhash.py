@@ -8,7 +8,9 @@ of its links, never all its pairs.
 
 Links can be checked exactly: with ``similarity`` the fingerprints' links only bring candidates
 together.  A second pass takes the shingle sets of the candidates alone, and pairs are compared by
-these whole sets.
+these whole sets.  Fingerprints are then compared only where prefixes meet: in any one order of all shingles, two sets
+that reach the similarity share one of the first few of each, so that no such pair is lost.  Shingles that many
+texts have come last in that order.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,12 @@ from .xxh import xxh64_spans
 TILE, LEAST_TILE = 49_152, 2_048
 #: Most bytes of shingle sets in a tile of candidates.
 SET_BYTES = 16 << 20
+#: Rows of a tile of those that share a shingle of their prefixes.
+MEETING_TILE = 1_024
+#: Rows that a task gathers by shingle, unless one shingle has more (16 bytes each).
+GATHERED = 1_000_000
+#: One text of so many tells which shingles are frequent, and so many at most are held to be; the order of shingles changes work, never results.
+TOLD_BY, MOST_FREQUENT = 32, 200_000
 #: Most candidates whose ids are sent to all workers; the texts of more are found by a join.
 MOST_SENT = 1_000_000
 GOLDEN = 0x9E3779B97F4A7C15
@@ -77,12 +86,13 @@ def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, distinct: bool = False, shingles: bool = False) -> DataFrame:
-    """(doc_id, code, pop[, key][, shingles]): code is 8 * width bytes, most significant first; pop counts its set bits.
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, distinct: bool = False, shingles: bool = False, prefix: float | None = None, last: Broadcast | None = None) -> DataFrame:
+    """(doc_id, code, pop[, key][, shingles][, prefix]): code is 8 * width bytes, most significant first; pop counts its set bits.
 
     The first 64 bits follow XXH64 with seed 42 over shingles of lower-cased words; further ones hash
     that hash again.  A null or blank text has code zero.  distinct: each shingle of a text counts once,
-    so that near codes are near sets, and key is a 128-bit hash of the set.  shingles: the distinct hashes, ascending, 64 bits each.  A
+    so that near codes are near sets, and key is a 128-bit hash of the set.  shingles: the distinct hashes, ascending, 64 bits each.  prefix: with distinct, so many
+    of them that two sets of this Jaccard similarity share one; those in last, ascending, come after all others.  A
     repeated row gives a repeated row; other columns are ignored.
     """
 
@@ -101,13 +111,44 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 columns.append(pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()))
             if shingles:
                 columns.append(pa.array([x.tobytes() for x in sets], pa.binary()))
+            if prefix is not None:
+                heads = prefixes(sets, prefix, last.value if last else np.zeros(0, np.uint64))
+                ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "code", "pop", *["key"] * distinct, *["shingles"] * shingles]
-    schema = "doc_id long, code binary, pop int" + ", key binary" * distinct + ", shingles binary" * shingles
+    names = ["doc_id", "code", "pop", *["key"] * distinct, *["shingles"] * shingles, *["prefix"] * (prefix is not None)]
+    schema = "doc_id long, code binary, pop int" + ", key binary" * distinct + ", shingles binary" * shingles + ", prefix array<long>" * (prefix is not None)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(through_arrow, run, schema)
 
 
+def prefixes(sets: list[np.ndarray], similarity: float, last: np.ndarray) -> list[np.ndarray]:
+    """Of each ascending set as many elements as it can lack in a set that reaches the similarity, and one more; those in last come after all others."""
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    late = last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat if len(last) else np.zeros(len(flat), bool)
+    out, end = [], 0
+    for x in sets:
+        end += len(x)
+        some = late[end - len(x) : end]
+        most = len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1 if len(x) else 0
+        out.append((np.concatenate([x[~some], x[some]]) if some.any() else x)[:most])
+    return out
+
+
+def frequent(texts: DataFrame, words: int, told_by: int = TOLD_BY) -> Broadcast:
+    """Hashes of shingles that more than one of a few texts have, ascending; texts: (doc_id, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h, count = shingle_hashes(as_bytes(b.column("text")), words)
+            for e, n in zip(np.cumsum(count).tolist(), count.tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[e - n : e]).view(np.int64))], ["s"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(told_by)) == 0).transform(through_arrow, run, "s long")
+    found = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s").toArrow()
+    return texts.sparkSession.sparkContext.broadcast(np.sort(found.column("s").to_numpy().view(np.uint64)))
+
+
 class Forest:
     """Union-find over 0..n-1 whose labels stay flat, so that known links are skipped in numpy."""
 
@@ -232,15 +273,13 @@ def links(codes: DataFrame, *, radius: int, tile: int = TILE) -> DataFrame:
     return _tile_links(tiles, partners, radius)
 
 
-def checked_links(members: DataFrame, *, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
-    """As links(), of (class, code, rep, shingles), within a class only, and only pairs whose shingles reach the similarity.
-
-    Small classes share tiles; a large class has tiles of its own, so that no task holds more than a pair of tiles.
-    """
-    tiles_of = lambda rows, size: F.greatest(F.ceil(rows / tile), F.ceil(size / SET_BYTES))
-    sizes = members.groupBy("class").agg(tiles_of(F.count(F.lit(1)), F.sum(F.length("shingles").cast("long"))).cast("int").alias("parts"))
-    total = members.agg(tiles_of(F.count(F.lit(1)), F.coalesce(F.sum(F.length("shingles").cast("long")), F.lit(0)))).first()[0]
-    shared = max(1, int(total))
+def _class_tiles(members: DataFrame, tile: int, *held: str) -> tuple[DataFrame, Column]:
+    """Tiles of (class, code, rep, ...) and their partners, for pairs within a class: small classes share tiles; a large class has tiles of its own,
+    so that no task holds more than a pair of tiles."""
+    bytes_of = F.coalesce(F.sum(F.length("shingles").cast("long")), F.lit(0)) if "shingles" in held else F.lit(0)
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(bytes_of / SET_BYTES))
+    sizes = members.groupBy("class").agg(count.cast("int").alias("parts"))
+    shared = max(1, int(members.agg(count).first()[0]))
     placed = members.join(sizes, "class")
     group = F.when(F.col("parts") > 1, F.concat(F.lit("c"), F.col("class").cast("string"))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("class"), F.lit(shared)).cast("string")))
     name = lambda part: F.concat("group", F.lit("/"), F.lpad(part.cast("string"), 9, "0"))
@@ -248,10 +287,47 @@ def checked_links(members: DataFrame, *, radius: int, similarity: float, tile: i
         placed.withColumn("group", group)
         .withColumn("me", name(F.pmod(F.xxhash64("code", "rep"), F.col("parts"))))
         .groupBy("group", "parts", "me")
-        .agg(F.collect_list(F.struct("code", "rep", "shingles")).alias("rows"))
+        .agg(F.collect_list(F.struct("code", "rep", *held)).alias("rows"))
     )
-    partners = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), name)
-    return _tile_links(tiles, partners, radius, similarity)
+    return tiles, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), name)
+
+
+def checked_links(members: DataFrame, *, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
+    """As links(), of (class, code, rep, shingles), within a class only, and only pairs whose shingles reach the similarity."""
+    return _tile_links(*_class_tiles(members, tile, "shingles"), radius, similarity)
+
+
+def meetings(kinds: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """(class, rep) of (rep, prefix): those whose prefixes share a shingle are together in a class, but for classes of one.
+
+    A class is named by a hash of its members, so that the many shingles that the same texts share give one class; what an equal name of others adds
+    costs comparisons only.
+    """
+    rows = kinds.agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("s").to_numpy(), b.column("rep").to_numpy()) for b in batches]
+        if not held:
+            return
+        s, rep = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(s, kind="stable")
+        s, rep = s[order], rep[order]
+        del held, order
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))[: len(s)]
+        name = np.bitwise_xor.reduceat(_more(rep.view(np.uint64), 1), first).view(np.int64) if len(s) else s
+        count = np.diff(np.append(first, len(s)))
+        often = np.repeat(count > 1, count)
+        names, rep = np.repeat(name, count)[often], rep[often]
+        order = np.lexsort((rep, names))
+        names, rep = names[order], rep[order]
+        new = np.concatenate([[True], (names[1:] != names[:-1]) | (rep[1:] != rep[:-1])])[: len(names)]
+        names, rep = names[new], rep[new]
+        for i in range(0, len(rep), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 65_536]), pa.array(rep[i : i + 65_536])], ["class", "rep"])
+
+    cores = kinds.sparkSession.sparkContext.defaultParallelism
+    each = kinds.select("rep", F.explode("prefix").alias("s")).repartition(max(cores, -(-rows // gathered)), "s")
+    return each.transform(through_arrow, run, "class long, rep long").distinct()
 
 
 def near_duplicates(
@@ -265,18 +341,21 @@ def near_duplicates(
     own.  Texts without words share code zero and so one component.  A null doc_id takes no part in
     links and has a null component_id.
     """
-    found = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words, width=width, distinct=similarity is not None))
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    last = None if similarity is None else frequent(texts, words)
+    found = cut(fingerprints(texts, words=words, width=width, distinct=similarity is not None, prefix=similarity, last=last))
     kind = ["code"] if similarity is None else ["code", "key"]
     kinds = cut(found.where("doc_id IS NOT NULL").groupBy(*kind, "pop").agg(F.min("doc_id").alias("rep")))
     if similarity is None:
         joined = components(links(kinds, radius=radius, tile=tile))
     else:
-        codes = cut(kinds.groupBy("code", "pop").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")))
-        joined = components(links(codes.drop("n"), radius=radius, tile=tile))
-        classes = codes.join(joined, codes.rep == joined.node, "left").where("component IS NOT NULL OR n > 1")
-        near = cut(kinds.select(*kind, "rep").join(classes.select(F.coalesce("component", "rep").alias("class"), "code"), "code"))
+        # Of repeated rows one prefix would do; a text's own ones are equal, and meet as one member.
+        heads = found.where("doc_id IS NOT NULL").select("doc_id", *kind, "prefix").join(kinds.withColumnRenamed("rep", "doc_id").select("doc_id", *kind), ["doc_id", *kind])
+        met = cut(meetings(heads.select(F.col("doc_id").alias("rep"), "prefix")))
+        together = _class_tiles(cut(met.join(kinds.select("rep", "code"), "rep")), min(tile, MEETING_TILE))
+        classes = components(_tile_links(*together, radius))
+        near = cut(kinds.join(classes, kinds.rep == classes.node).select(*kind, "rep", F.col("component").alias("class")))
         ids = near.select("rep").distinct()
-        texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         texts = texts.join(F.broadcast(ids) if near.count() <= MOST_SENT else ids, F.col("doc_id") == F.col("rep"), "left_semi")
         sets = fingerprints(texts, words=words, width=width, distinct=True, shingles=True).groupBy(F.col("doc_id").alias("rep"), *kind).agg(F.min("shingles").alias("shingles"))
         members = cut(near.join(sets, ["rep", *kind]))

@@ -131,3 +131,27 @@ def test_equal_codes_of_other_sets_are_compared():
     codes = np.zeros((3, 3), np.uint64)
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 5000)]
     assert simhash.compare(codes, 3, 44, sets, 0.8).label.tolist() == [0, 0, 2]
+
+
+def test_alike_sets_share_a_shingle_of_their_prefixes():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 9, 10, 37, 200):
+        for _ in range(20):
+            gone = n // 9 + int(r.integers(0, 2))
+            x = np.unique(r.integers(0, 1 << 60, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[r.permutation(len(x))[: max(1, len(x) - gone)]], r.integers(0, 1 << 60, gone // 2, dtype=np.uint64)]))
+            last = np.unique(np.concatenate([x[::2], y[::3]]))
+            alike = len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+            for late in (last, last[:0]):
+                a, b = simhash.prefixes([x, y], 0.8, late)
+                assert not alike or len(np.intersect1d(a, b))
+    assert [len(p) for p in simhash.prefixes([np.arange(k, dtype=np.uint64) for k in (0, 1, 5, 10)], 0.8, np.zeros(0, np.uint64))] == [0, 1, 2, 3]
+
+
+def test_only_texts_that_share_shingles_are_compared(spark):
+    """Else comparisons grow with the square of the corpus."""
+    sets = [np.unique(np.random.default_rng(s // 2).integers(-(1 << 60), 1 << 60, 40 + s % 2)) for s in range(60)]  # pairs share 40 of 41
+    rows = [(s, x[:9].tolist()) for s, x in enumerate(sets)] + [(60, [])]
+    got = simhash.meetings(spark.createDataFrame(rows, "rep long, prefix array<long>"), gathered=50).collect()
+    assert len(got) == 60 and len({r["class"] for r in got}) == 30
+    assert {tuple(sorted(r["rep"] for r in got if r["class"] == c)) for c in {r["class"] for r in got}} == {(s, s + 1) for s in range(0, 60, 2)}
