@@ -11,6 +11,7 @@ import time
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..graph import Graph
 from ..lineage import written as cut
 from ..operators import contract, degree, moves, partition
 from ..sources import text
-from . import small
+from . import held, small
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,9 @@ class Louvain:
     tol: gain in modularity below which iterations end; phase_tol: below which phases end, tol if None.  tie: see operators.moves.best_moves.
     devices: ranges whose batches move together.  partition_by: ``edge`` or ``vertex`` balanced ranges.
     coloring: renumbers vertices by color first.  A phase works by DataFrame supersteps.  Once contraction has left no more than
-    small_arcs arcs (counted first), which one task can hold, a phase runs the same rules inside one task: whole weights give the same
-    results to the bit, real ones but for the order in which sums are rounded.  0 never does that.
+    small_arcs arcs (counted first), which one task can hold, a phase runs the same rules inside one task; with more arcs but no more than
+    held_vertices vertices, whose state the driver and each task can hold, by tasks over blocks of arcs.  Whole weights give the same
+    results to the bit, real ones but for the order in which sums are rounded.  small_arcs=0 never does either.
     """
 
     batches: int = 2
@@ -63,6 +65,7 @@ class Louvain:
     partition_by: str = "edge"
     coloring: bool = False
     small_arcs: int = 4_000_000
+    held_vertices: int = 2_000_000
 
     def fit(self, graph: Graph, init: DataFrame | None = None) -> Result:
         """Isolated vertices stay communities of their own; a graph without weight gives singletons and q null.
@@ -92,8 +95,10 @@ class Louvain:
         for phase in range(self.max_phases):
             clock = time.time()
             mass = edges.agg(F.sum("w")).first()[0] or 0
-            fits = arcs <= self.small_arcs and n <= self.small_arcs and (isinstance(mass, float) or mass <= moves.LONG_MASS)
-            state, before, q, rows = (self._small if fits else self._large)(vertices, edges, state, n, arcs, mass)
+            short = isinstance(mass, float) or mass <= moves.LONG_MASS
+            fits = short and arcs <= self.small_arcs and n <= self.small_arcs
+            near = short and self.small_arcs and n <= self.held_vertices
+            state, before, q, rows, *shrunk = (self._small if fits else self._held if near else self._large)(vertices, edges, state, n, arcs, mass)
             moved = time.time() - clock
             history += [(phase, *r, n, arcs) for r in rows]
             if q is None:
@@ -111,7 +116,7 @@ class Louvain:
                 levels.append(composed.select(F.lit(len(levels)).alias("level"), "v", "community"))
                 ended = count in (n, 1)
             if not ended:
-                edges = cut(contract.contract(edges, state, names))
+                edges = cut(shrunk[0] if shrunk else contract.contract(edges, state, names))
                 vertices = names.select(F.col("id").alias("v"))
                 n, arcs = count, edges.count()
                 state = vertices.select("v", F.col("v").alias("c"))
@@ -136,10 +141,10 @@ class Louvain:
             import pandas as pd
 
             pick = lambda x, y: x[y].to_numpy()
-            arcs, held = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+            arcs, at = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
             weights = pick(arcs, "w")
             c = np.arange(n)
-            c[pick(held, "src")] = pick(held, "dst")
+            c[pick(at, "src")] = pick(at, "dst")
             c, before, q, history = small.phase(n, pick(arcs, "src"), pick(arcs, "dst"), weights if weights.dtype.kind == "f" else weights.astype(np.int64), c, **options)
             parts = [pd.DataFrame({"kind": "state", "a": np.arange(n), "b": c}), pd.DataFrame([{"kind": "q", "x": before, "y": q}])]
             parts.append(pd.DataFrame([{"kind": "history", "a": h[0], "x": h[1], "y": h[2], "z": h[3]} for h in history]))
@@ -154,6 +159,21 @@ class Louvain:
         rows = [(r["a"], null(r["x"]), null(r["y"]), r["z"]) for r in found.where("kind = 'history'").orderBy("a").collect()]
         return found.where("kind = 'state'").select(F.col("a").alias("v"), F.col("b").alias("c")), null(q["x"]), null(q["y"]), rows
 
+    def _held(self, vertices: DataFrame, edges: DataFrame, state: DataFrame, n: int, arcs: int, mass) -> tuple[DataFrame, float | None, float | None, list, DataFrame]:
+        """One phase by tasks that hold the state of all vertices, which were counted, and each some of the arcs; last, the arcs between communities."""
+        spark = edges.sparkSession
+        sums = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("k")).toArrow()
+        src, kind = sums.column("src").to_numpy(), np.float64 if dict(edges.dtypes)["w"] == "double" else np.int64
+        count, k, c = np.zeros(n, np.int64), np.zeros(n, kind), np.arange(n)
+        count[src], k[src] = sums.column("n").to_numpy(), sums.column("k").to_numpy()
+        given = state.select("v", "c").toArrow()
+        c[given.column("v").to_numpy()] = given.column("c").to_numpy()
+        windows = small.windows(count, self.batches, self.devices, self.partition_by)
+        blocks = held.Blocks(edges, windows, arcs)
+        c, before, q, rows = held.phase(spark, blocks, n, k, c, tol=self.tol, max_iter=self.max_iter, tie=self.tie)
+        found = cut(spark.createDataFrame(pa.table({"v": np.arange(n), "c": c})))
+        return found, before, q, rows, held.contract(spark, blocks, np.unique(c, return_inverse=True)[1])
+
     def _large(self, vertices: DataFrame, edges: DataFrame, state: DataFrame, n: int, arcs: int, mass) -> tuple[DataFrame, float | None, float | None, list]:
         """One phase by supersteps.  The arcs of each batch are written once, so that an iteration reads every arc once."""
         state = cut(degree.weighted_degrees(vertices, edges).join(state.select("v", "c"), "v"))
@@ -162,9 +182,9 @@ class Louvain:
             return state, None, None, [(1, None, None, True)]
         batches = []
         for ranges in partition.batches(cut(degree.csr_offsets(vertices, edges)), n, arcs, self.batches, self.devices, self.partition_by):
-            held = [r for r in ranges if r[0] < r[1]]
-            if held:
-                inside = lambda x, held=held: F.array_max(F.array(*[F.col(x).between(lo, hi - 1) for lo, hi in held]))
+            full = [r for r in ranges if r[0] < r[1]]
+            if full:
+                inside = lambda x, full=full: F.array_max(F.array(*[F.col(x).between(lo, hi - 1) for lo, hi in full]))
                 batches.append((cut(edges.where(inside("src")).repartition("src")), inside("v")))
         rows: list[tuple] = []
         gain = float("inf")

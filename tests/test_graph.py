@@ -173,3 +173,19 @@ def test_random_graphs(spark):
     assert g.max_degree() > 20
     w = {(r["src"], r["dst"]): r["w"] for r in g.dedupe().randomize_weights(2).edges.collect()}
     assert all(0 < x < 1 and w[b, a] == x for (a, b), x in w.items())
+
+
+def alike(spark, **options):
+    """Results of a phase inside one task, of blocks of arcs and of supersteps, on a graph of whole weights with loops, hubs and isolated vertices."""
+    r = np.random.default_rng(11)
+    a, b = r.integers(0, 60, 300), r.integers(0, 60, 300) ** 2 // 60
+    pairs = {(int(min(x, y)), int(max(x, y))): int(w) for x, y, w in zip(a, b, r.integers(1, 9, 300))}
+    rows = [(x, y, w) for (x, y), w in pairs.items()] + [(y, x, w) for (x, y), w in pairs.items() if x != y]
+    g = Graph(spark.range(64).select(F.col("id").alias("v")), spark.createDataFrame(rows, schema.EDGES))
+    sides = [Louvain(**limit, **options).fit(g) for limit in ({}, {"small_arcs": 1}, {"small_arcs": 1, "held_vertices": 0})]
+    return [[sorted(map(tuple, x.collect())) for x in (f.communities, f.hierarchy, f.history, f.phases)] for f in sides]
+
+
+def test_blocks_of_arcs_move_together_on_devices(spark):
+    small, blocks, steps = alike(spark, batches=4, devices=2)
+    assert small == blocks == steps
