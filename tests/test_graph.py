@@ -189,3 +189,8 @@ def alike(spark, **options):
 def test_blocks_of_arcs_move_together_on_devices(spark):
     small, blocks, steps = alike(spark, batches=4, devices=2)
     assert small == blocks == steps
+
+
+def test_blocks_of_arcs_break_ties_by_lanes(spark):
+    small, blocks, steps = alike(spark, batches=8, tie="lane")
+    assert small == blocks == steps
