@@ -194,3 +194,12 @@ def test_blocks_of_arcs_move_together_on_devices(spark):
 def test_blocks_of_arcs_break_ties_by_lanes(spark):
     small, blocks, steps = alike(spark, batches=8, tie="lane")
     assert small == blocks == steps
+
+
+def test_blocks_of_arcs_of_real_weights_and_given_communities(spark):
+    g = Graph.random_ba(spark, 200, 3, seed=2).dedupe().randomize_weights(4)
+    init = g.vertices.select("v", (F.col("v") % 9).alias("c"))
+    small, blocks = (Louvain(batches=8, small_arcs=limit).fit(g, init=init) for limit in (10**6, 1))
+    assert sorted(small.hierarchy.collect()) == sorted(blocks.hierarchy.collect()) and abs(small.q_final - blocks.q_final) < 1e-12
+    empty = Graph(g.vertices, g.edges.limit(0))
+    assert Louvain(small_arcs=-1).fit(empty).communities.count() == 200
