@@ -203,3 +203,15 @@ def test_blocks_of_arcs_of_real_weights_and_given_communities(spark):
     assert sorted(small.hierarchy.collect()) == sorted(blocks.hierarchy.collect()) and abs(small.q_final - blocks.q_final) < 1e-12
     empty = Graph(g.vertices, g.edges.limit(0))
     assert Louvain(small_arcs=-1).fit(empty).communities.count() == 200
+
+
+def test_ties_by_blocks_are_those_of_a_join(spark):
+    r = np.random.default_rng(5)
+    rows = sorted({(int(g), int(m)) for g, m in zip(r.integers(-4, 30, 900), r.integers(0, 70, 900) * 10**12)})
+    seen = spark.createDataFrame(rows, "group long, member long")
+    want = sorted(tables._shared(seen, "group", "member").collect())
+    for block in (30, 1000):
+        blocks = tables._shared_blocks(seen, 70, block)
+        assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, want))
+    assert "Join" not in blocks._jdf.queryExecution().toString()  # no pair is shuffled
+    assert tables._shared_blocks(seen.limit(0), 0).count() == 0
