@@ -215,3 +215,10 @@ def test_ties_by_blocks_are_those_of_a_join(spark):
         assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, want))
     assert "Join" not in blocks._jdf.queryExecution().toString()  # no pair is shuffled
     assert tables._shared_blocks(seen.limit(0), 0).count() == 0
+
+
+def test_phases_of_users_shuffle_no_pairs(spark):
+    vertices, edges = tables.user_hour(spark, "/root/testdata/sf0.001")
+    assert "Join" not in edges._jdf.queryExecution().toString()
+    one, blocks = (Louvain(batches=8, small_arcs=limit).fit(Graph(vertices, edges)).phases for limit in (4_000_000, 1))
+    assert sorted(one.collect()) == sorted(blocks.collect())
