@@ -11,7 +11,6 @@ import time
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +96,7 @@ class Louvain:
             mass = edges.agg(F.sum("w")).first()[0] or 0
             short = isinstance(mass, float) or mass <= moves.LONG_MASS
             fits = short and arcs <= self.small_arcs and n <= self.small_arcs
-            near = short and self.small_arcs and n <= self.held_vertices
+            near = short and self.small_arcs and n <= self.held_vertices and held.slots(vertices.sparkSession)
             state, before, q, rows, *shrunk = (self._small if fits else self._held if near else self._large)(vertices, edges, state, n, arcs, mass)
             moved = time.time() - clock
             history += [(phase, *r, n, arcs) for r in rows]
@@ -160,19 +159,24 @@ class Louvain:
         return found.where("kind = 'state'").select(F.col("a").alias("v"), F.col("b").alias("c")), null(q["x"]), null(q["y"]), rows
 
     def _held(self, vertices: DataFrame, edges: DataFrame, state: DataFrame, n: int, arcs: int, mass) -> tuple[DataFrame, float | None, float | None, list, DataFrame]:
-        """One phase by tasks that hold the state of all vertices, which were counted, and each some of the arcs; last, the arcs between communities."""
+        """One phase by tasks that run together and hold the state of all vertices, which were counted, and each some of the arcs; last, the arcs between communities."""
         spark = edges.sparkSession
-        sums = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("k")).toArrow()
+        sums = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("k"), F.min("w").alias("least"), F.max("w").alias("most")).toArrow()
         src, kind = sums.column("src").to_numpy(), np.float64 if dict(edges.dtypes)["w"] == "double" else np.int64
         count, k, c = np.zeros(n, np.int64), np.zeros(n, kind), np.arange(n)
         count[src], k[src] = sums.column("n").to_numpy(), sums.column("k").to_numpy()
         given = state.select("v", "c").toArrow()
         c[given.column("v").to_numpy()] = given.column("c").to_numpy()
+        if not k.sum():
+            return state, None, None, [(1, None, None, True)]
         windows = small.windows(count, self.batches, self.devices, self.partition_by)
-        blocks = held.Blocks(edges, windows, arcs)
-        c, before, q, rows = held.phase(spark, blocks, n, k, c, tol=self.tol, max_iter=self.max_iter, tie=self.tie)
-        found = cut(spark.createDataFrame(pa.table({"v": np.arange(n), "c": c})))
-        return found, before, q, rows, held.contract(spark, blocks, np.unique(c, return_inverse=True)[1])
+        weights = min(sums.column("least").to_pylist()), max(sums.column("most").to_pylist())
+        tasks = min(held.slots(spark), max(1, -(-arcs // held.TASK)))
+        found = cut(held.phase(edges, windows, count, k, c, weights, tasks, tol=self.tol, max_iter=self.max_iter, tie=self.tie))
+        ends = found.where(F.col("kind") == held.ENDS).first()
+        rows = [(r["a"], r["q"], r["gain"], r["gain"] >= 0) for r in found.where(F.col("kind") == held.LOOP).orderBy("a").collect()]
+        pairs = found.where(F.col("kind") == held.ARC).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+        return found.where(F.col("kind") == held.STATE).select(F.col("a").alias("v"), F.col("b").alias("c")), ends["q"], ends["gain"], rows, pairs
 
     def _large(self, vertices: DataFrame, edges: DataFrame, state: DataFrame, n: int, arcs: int, mass) -> tuple[DataFrame, float | None, float | None, list]:
         """One phase by supersteps.  The arcs of each batch are written once, so that an iteration reads every arc once."""

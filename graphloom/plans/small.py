@@ -51,26 +51,53 @@ def _sums(key: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def step(start: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, c: np.ndarray, m2, ranges: list[tuple[int, int]], tie: str) -> np.ndarray:
-    """The assignment after the vertices of the ranges have moved; arcs lie in the order of src."""
-    a = _sums(c, k, len(k))
-    new = c.copy()
-    picks = [np.arange(start[lo], start[hi]) for lo, hi in ranges if hi > lo]
-    at = np.concatenate(picks) if picks else np.zeros(0, np.int64)
-    if not len(at):
-        return new
-    s, t = src[at], c[dst[at]]
-    key = s * len(k) + t
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    e = np.add.reduceat(np.where(s == dst[at], 0, w[at])[order], first)
-    v, com = np.divmod(key[first], len(k))
+def sizes(c: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
+    """The weighted degree of each community; whole ones are below 2 ** 53."""
+    return np.bincount(c, k, n).astype(k.dtype)
+
+
+def numbered(c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The communities in order, and the place of each vertex's among them."""
+    labels = np.flatnonzero(np.bincount(c, minlength=n))
+    places = np.zeros(n, np.int64)
+    places[labels] = np.arange(len(labels))
+    return labels, places[c]
+
+
+def ties(row: np.ndarray, t: np.ndarray, w: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, t, sum of w) in order, for t below width; whole sums are below 2 ** 53."""
+    key = row * width + t
+    if not len(key):
+        return key, key, w
+    whole = w.dtype.kind != "f" and w.min() >= 0
+    bits = int(w.max()).bit_length() if whole else 64
+    if whole and rows * width <= 4 * len(key):  # a cell for each key is no more than the arcs
+        key_of = np.flatnonzero(np.bincount(key, minlength=rows * width))
+        e = np.bincount(key, w)[key_of].astype(np.int64)
+    elif (rows * width).bit_length() + bits < 64:  # keys and weights in one number, as sorting alone is faster than ordering
+        both = key << bits | w
+        both.sort()
+        key = both >> bits
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key_of, e = key[first], np.add.reduceat(both & (1 << bits) - 1, first)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key_of, e = key[first], np.add.reduceat(w[order], first)
+    return *np.divmod(key_of, width), e
+
+
+def choose(v: np.ndarray, com: np.ndarray, e: np.ndarray, k: np.ndarray, a: np.ndarray, c: np.ndarray, m2, tie: str) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices that move, and where to; (v, com, e) has the weight of each mover's ties by community, without loops, in order."""
+    if not len(v):
+        return v, com
     own = com == c[v]
     score = m2 * e - k[v] * (a[com] - np.where(own, k[v], 0))
-    begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    stay = -k[v[begin]] * (a[c[v[begin]]] - k[v[begin]])
-    group = np.cumsum(np.concatenate([[0], (v[1:] != v[:-1]).astype(np.int64)]))
+    change = np.concatenate([[True], v[1:] != v[:-1]])
+    begin, group = np.flatnonzero(change), np.cumsum(change) - 1
+    mover = v[begin]
+    stay = -k[mover] * (a[c[mover]] - k[mover])
     stay[group[own]] = score[own]
     if tie == "lane":
         rank = np.arange(len(v)) - begin[group]
@@ -78,11 +105,29 @@ def step(start: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, k:
         second = ((lane % 2) * 4 + lane // 2 % 2 * 2 + lane // 4) * (len(v) + 1) + rank
     else:
         second = com
-    other = np.flatnonzero(~own)
-    ranked = other[np.lexsort((second[other], -score[other], group[other]))]
-    best = ranked[np.concatenate([[True], group[ranked][1:] != group[ranked][:-1]])] if len(ranked) else ranked
-    up = best[score[best] > stay[group[best]]]
-    new[v[up]] = com[up]
+    other = np.where(own, -np.inf if score.dtype.kind == "f" else np.iinfo(np.int64).min, score)
+    most = np.maximum.reduceat(other, begin)
+    best = np.flatnonzero(~own & (other == most[group]) & (other > stay[group]))
+    if not len(best):
+        return v[best], com[best]
+    # Of equal scores the first by the rule of ties.
+    start = np.flatnonzero(np.concatenate([[True], v[best][1:] != v[best][:-1]]))
+    least = np.minimum.reduceat(second[best], start)
+    best = best[second[best] == np.repeat(least, np.diff([*start, len(best)]))]
+    return v[best], com[best]
+
+
+def step(start: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, c: np.ndarray, m2, ranges: list[tuple[int, int]], tie: str) -> np.ndarray:
+    """The assignment after the vertices of the ranges have moved; arcs lie in the order of src."""
+    n = len(k)
+    new = c.copy()
+    picks = [np.arange(start[lo], start[hi]) for lo, hi in ranges if hi > lo]
+    at = np.concatenate(picks) if picks else np.zeros(0, np.int64)
+    labels, dense = numbered(c, n)
+    s, t = src[at], dst[at]
+    v, com, e = ties(s, dense[t], np.where(s == t, 0, w[at]), n, len(labels))
+    v, to = choose(v, labels[com], e, k, sizes(c, k, n), c, m2, tie)
+    new[v] = to
     return new
 
 

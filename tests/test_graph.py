@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from graphloom import schema
 from graphloom.graph import Graph
 from graphloom.operators import coloring, contract, degree, moves, partition
-from graphloom.plans import small
+from graphloom.plans import held, small
 from graphloom.plans.louvain import Louvain
 from graphloom.sources import binary, generate, tables
 
@@ -222,3 +222,15 @@ def test_phases_of_users_shuffle_no_pairs(spark):
     assert "Join" not in edges._jdf.queryExecution().toString()
     one, blocks = (Louvain(batches=8, small_arcs=limit).fit(Graph(vertices, edges)).phases for limit in (4_000_000, 1))
     assert sorted(one.collect()) == sorted(blocks.collect())
+
+
+def test_iterations_over_blocks_start_no_jobs(spark):
+    g, sc = made(spark, [(a, b) for a in range(40) for b in range(a) if (a * 7 + b * 3) % 5 < 2]), spark.sparkContext
+    jobs = []
+    for loops in (1, 9):
+        sc.setJobGroup(f"loops {loops}", "")
+        history = Louvain(batches=8, tie="lane", small_arcs=1, tol=-1, max_iter=loops, max_phases=1).fit(g).history
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"loops {loops}")))
+        assert history.count() == loops
+    sc._jsc.clearJobGroup()
+    assert jobs[1] <= jobs[0] + 2
