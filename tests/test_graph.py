@@ -234,3 +234,30 @@ def test_iterations_over_blocks_start_no_jobs(spark):
         assert history.count() == loops
     sc._jsc.clearJobGroup()
     assert jobs[1] <= jobs[0] + 2
+
+
+def test_ties_and_moves_are_those_of_plain_sums():
+    r = np.random.default_rng(3)
+    n = 50
+    for arcs, top in ((2000, 9), (90, 9), (90, 1 << 60), (90, None)):  # counted, sorted with their weights, ordered; real
+        row, t = r.integers(0, n, arcs), r.integers(0, n, arcs)
+        w = r.random(arcs) if top is None else r.integers(0, top, arcs) // 100 if top > 9 else r.integers(0, top, arcs)
+        want = {}
+        for x, y, z in zip(row.tolist(), t.tolist(), w.tolist()):
+            want[x, y] = want.get((x, y), 0) + z
+        got = [x.tolist() for x in small.ties(row, t, w, n, n)]
+        assert list(zip(*got[:2])) == sorted(want) and np.allclose(got[2], [want[x] for x in sorted(want)], rtol=1e-12)
+        assert top is None or got[2] == [want[x] for x in sorted(want)]
+    lanes = [i % 2 * 4 + i // 2 % 2 * 2 + i // 4 for i in range(8)]
+    for tie in ("min", "lane"):
+        c, k = r.integers(0, 12, n), r.integers(1, 4, n)
+        a, m2 = small.sizes(c, k, n), int(k.sum())
+        row, com, e = small.ties(r.integers(0, n, 300), c[r.integers(0, n, 300)], np.ones(300, np.int64), n, n)
+        to = dict(zip(*(x.tolist() for x in small.choose(row, com, e, k, a, c, m2, tie))))
+        for v in range(n):
+            near = [(int(y), int(z)) for x, y, z in zip(row, com, e) if x == v]
+            score = {y: m2 * z - int(k[v]) * int(a[y] - (k[v] if y == c[v] else 0)) for y, z in near}
+            stay = score.get(int(c[v]), -int(k[v]) * int(a[c[v]] - k[v]))
+            order = {y: (lanes[i % 8], i) if tie == "lane" else y for i, (y, _) in enumerate(near)}
+            best = min((y for y in score if y != c[v]), key=lambda y: (-score[y], order[y]), default=None)
+            assert to.get(v) == (best if best is not None and score[best] > stay else None)
