@@ -261,3 +261,13 @@ def test_ties_and_moves_are_those_of_plain_sums():
             order = {y: (lanes[i % 8], i) if tie == "lane" else y for i, (y, _) in enumerate(near)}
             best = min((y for y in score if y != c[v]), key=lambda y: (-score[y], order[y]), default=None)
             assert to.get(v) == (best if best is not None and score[best] > stay else None)
+
+
+def test_blocks_have_like_numbers_of_arcs_in_narrow_types():
+    assert [held.narrow(0, x, False) for x in (255, 256, 65_536, 1 << 32)] == ["<u1", "<u2", "<u4", "<i8"] and held.narrow(-1, 1, False) == "<i8" and held.narrow(0, 1, True) == "<f8"
+    count = np.full(9000, 9000)
+    windows = small.windows(count, 8, 1, "edge")
+    at, parts = held.homes(count, windows, 6)
+    arcs = np.bincount(at, count)
+    assert parts % 6 == 0 and len(arcs) == 8 * parts and arcs.max() <= held.BLOCK + 9000 and arcs.max() < 1.1 * arcs.min()
+    assert all(set(at[lo:hi] // parts) == {b} for b, ranges in enumerate(windows) for lo, hi in ranges)
