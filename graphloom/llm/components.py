@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -12,8 +12,10 @@ from .common import cut
 HOT = 100_000
 
 
-def _nearest(edges: DataFrame, hot: int) -> DataFrame:
-    """(u, v, m): each neighbour v of u with the least m of u and all its neighbours."""
+def _nearest(edges: DataFrame, most: int, hot: int) -> DataFrame:
+    """(u, v, m): each neighbour v of u with the least m of u and all its neighbours; most: edges that a node has at most."""
+    if most <= hot:
+        return edges.select("u", "v", F.least("u", F.min("v").over(Window.partitionBy("u"))).alias("m"))
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.floor(F.count(F.lit(1)) / hot).alias("more"))
     many = least.where("more > 0").select("u", F.col("more").alias("salts"))  # one row for every ``hot`` edges at most
     salted = edges.join(F.broadcast(many), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(0)) + 1).alias("salt"))
@@ -21,23 +23,33 @@ def _nearest(edges: DataFrame, hot: int) -> DataFrame:
     return salted.join(spread, ["u", "salt"]).drop("salt")
 
 
+def _shape(edges: DataFrame) -> tuple[int, bool]:
+    """Of distinct (u, v) with v below u: the edges of the node that has most, and whether all are stars around their least nodes."""
+    end = lambda x, above: F.struct(F.col(x).alias("node"), F.lit(above).alias("above"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("above").alias("above"))
+    most, outer = nodes.agg(F.max("n"), F.max(F.when(F.col("above") > 0, F.col("n")))).first()
+    return most or 0, (outer or 1) == 1
+
+
 def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """From undirected edges (u, v), longs without nulls, to (node, component).
 
     component is the least node that can be reached.  Loops and repeated edges change nothing; a node
-    of loops alone has no row.  No edges: no rows.  The least neighbour is found by min(), which is
-    aggregated before the shuffle; a node of more than ``hot`` edges meets it under several keys.
+    of loops alone has no row.  No edges: no rows.  An iteration deals the edges three times, and the nodes once to see
+    whether it was the last; where a node has more than ``hot`` edges, its least neighbour is found by min(), which is
+    aggregated before the shuffle, and meets them under several keys.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
+        most, stars = _shape(now)
+        if stars:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = _nearest(large, hot)
+        # A node has no more edges here than in both; what repeats goes at the end.
+        large = _nearest(both, most, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        down = _nearest(large, most, hot)
         small = down.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = cut(small.where("u <> v").distinct())
-        # A star forest with its least node in every centre is a fixed point.
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
-        now = after
+        now = cut(small.where("u <> v").distinct())
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -89,6 +89,28 @@ def test_hot_nodes_are_dealt_over_keys(spark):
     assert got == {**dict.fromkeys(range(62), 0), 100: 100, 101: 100}
 
 
+def test_few_stages_join_edges(spark):
+    r = random.Random(5)
+    chain = [(i, i + 1) for i in range(40)]
+    others = [(100 + i, 100 + r.randrange(40)) for i in range(60)] + [(200 + i, 200) for i in range(1, 30)]
+    for edges in ([(200 + i, 200) for i in range(1, 30)], chain + others):
+        df = spark.createDataFrame(r.sample(edges, len(edges)), "u long, v long").localCheckpoint()
+        want = {}
+        nodes = sorted({x for e in edges for x in e})
+        for x in nodes:
+            reached, rest = {x}, edges
+            while new := {b for e in rest for b in e if set(e) & reached} - reached:
+                reached |= new
+            want[x] = min(reached)
+        spark.sparkContext.setJobGroup(group := f"components-{len(edges)}", group)
+        got = components(df)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        ran = sum(tracker.getStageInfo(s) is not None and tracker.getStageInfo(s).numCompletedTasks > 0 for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds)
+        assert {x["node"]: x["component"] for x in got.collect()} == want
+        assert ran <= (8 if edges[0] == (201, 200) else 60), ran
+
+
 def test_keep_one_takes_near_copies_and_leaves_others(spark):
     base = [words(200, s) for s in range(12)]
     rows = [(i, t, "en") for i, t in enumerate(base)]
