@@ -50,8 +50,8 @@ class Louvain:
     devices: ranges whose batches move together.  partition_by: ``edge`` or ``vertex`` balanced ranges.
     coloring: renumbers vertices by color first.  A phase works by DataFrame supersteps.  Once contraction has left no more than
     small_arcs arcs (counted first), which one task can hold, a phase runs the same rules inside one task; with more arcs but no more than
-    held_vertices vertices, whose state the driver and each task can hold, by tasks over blocks of arcs.  Whole weights give the same
-    results to the bit, real ones but for the order in which sums are rounded.  small_arcs=0 never does either.
+    held_vertices vertices, whose state the driver and each task can hold, by tasks over blocks of arcs, and of whole weights as soon as each has
+    held.TASK arcs.  Whole weights give the same results to the bit, real ones but for the order in which sums are rounded.  small_arcs=0 never does either.
     """
 
     batches: int = 2
@@ -97,6 +97,8 @@ class Louvain:
             short = isinstance(mass, float) or mass <= moves.LONG_MASS
             fits = short and arcs <= self.small_arcs and n <= self.small_arcs
             near = short and self.small_arcs and n <= self.held_vertices and held.slots(vertices.sparkSession)
+            if near and not isinstance(mass, float):  # equal results either way, sooner by several tasks
+                fits = fits and arcs <= near * held.TASK
             state, before, q, rows, *shrunk = (self._small if fits else self._held if near else self._large)(vertices, edges, state, n, arcs, mass)
             moved = time.time() - clock
             history += [(phase, *r, n, arcs) for r in rows]

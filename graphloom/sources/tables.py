@@ -37,7 +37,8 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def _shared(df: DataFrame, group: str, member: str) -> DataFrame:
     counted = df.groupBy(group, member).agg(F.count(F.lit(1)).alias("n"))
     left, right = counted.select(group, F.col(member).alias("src"), F.col("n").alias("a")), counted.select(group, F.col(member).alias("dst"), F.col("n").alias("b"))
-    return left.join(right, group).where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("w"))
+    half = left.join(right, group).where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("w"))
+    return half.select(F.inline(F.array(F.struct("src", "dst", "w"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))))
 
 
 def _shared_blocks(seen: DataFrame, members: int, block: int = BLOCK) -> DataFrame:

@@ -205,6 +205,31 @@ def test_blocks_of_arcs_of_real_weights_and_given_communities(spark):
     assert Louvain(small_arcs=-1).fit(empty).communities.count() == 200
 
 
+def test_tasks_share_a_phase_of_many_arcs(spark, monkeypatch):
+    items = [(i % 90, (i * i + i // 7) % 40) for i in range(900)] + [(5, None), (None, 3)]
+    arcs = tables._shared(spark.createDataFrame(items, "g long, m long"), "g", "m").cache()
+    n = {x: sum(y == x for y in items) for x in items}
+    want = {}
+    for (g, a), x in n.items():
+        for (h, b), y in n.items():
+            if g == h and g is not None and None not in (a, b) and a != b:
+                want[a, b] = want.get((a, b), 0) + x * y
+    assert sorted(tuple(r) for r in arcs.collect()) == sorted((*k, w) for k, w in want.items())
+    ran = []
+    monkeypatch.setattr(held, "phase", lambda *a, f=held.phase, **k: ran.append(1) or f(*a, **k))
+    for real in (False, True):
+        g = Graph(spark.range(40).select(F.col("id").alias("v")), arcs.withColumn("w", F.col("w").cast("double")) if real else arcs)
+        one = Louvain(batches=4).fit(g)
+        assert not ran
+        with monkeypatch.context() as m:
+            m.setattr(held, "TASK", 1)
+            several = Louvain(batches=4).fit(g)
+        assert bool(ran) != real
+        ran.clear()
+        for x, y in ((one.hierarchy, several.hierarchy), (one.history, several.history)):
+            assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+
+
 def test_ties_by_blocks_are_those_of_a_join(spark):
     r = np.random.default_rng(5)
     rows = sorted({(int(g), int(m)) for g, m in zip(r.integers(-4, 30, 900), r.integers(0, 70, 900) * 10**12)})
