@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, cut, slices, through_arrow
+from .common import SLICE_BYTES, as_text, cut, slices, through_arrow
 
 # Words that are numbers, units, given names, or capitalised only where a sentence starts.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split())
@@ -200,7 +200,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, words
         memory = Words()
         raw, bits = shared.value
         bitmap, shift = np.frombuffer(raw, np.uint8), np.uint64(64 - bits)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE_BYTES // 4):  # windows take many times the bytes of their texts
             w = Windows(as_text(b.column("text")), memory, words)
             p = w.h >> shift
             on = np.flatnonzero((bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, slices, through_arrow
+from .common import as_bytes, cut, give_back, slices, through_arrow
 from .components import components
 from .xxh import xxh64_spans
 
@@ -242,6 +242,9 @@ def _tile_links(tiles: DataFrame, partners: Column, radius: int, similarity: flo
             label = compare(codes, len(held[a]), radius, sets, similarity).label
             moved = np.flatnonzero(label != np.arange(len(label)))
             out = (rep[moved], rep[label[moved]])
+            del parts, codes, sets
+        del rows, held, table
+        give_back()
         return pa.table({"u": pa.array(out[0], pa.int64()), "v": pa.array(out[1], pa.int64())})
 
     return pairs.groupBy("a", "b").applyInArrow(run, "u long, v long")
