@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,6 +137,18 @@ class Graph:
         text.write_tsv(self.edges, path)
 
 
+@dataclass(frozen=True)
+class Shared:
+    """Vertices that are tied by common groups: ties (group, member, n), longs without nulls and each pair once, tell how often; two vertices are tied by the sum of the products of both counts in each group.
+
+    arcs: makes the table of arcs, for runs that need it.
+    """
+
+    vertices: DataFrame
+    ties: DataFrame
+    arcs: Callable[[], DataFrame]
+
+
 def symmetrize(edges: DataFrame) -> DataFrame:
     """Each arc and its reverse; a loop once."""
     return edges.unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))

@@ -123,6 +123,18 @@ def homes(count: np.ndarray, windows: list[list[tuple[int, int]]], tasks: int) -
     return at, parts
 
 
+def told(kind: int, a: np.ndarray, b: np.ndarray, w=None, q=None, gain=None, real: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of a phase's result."""
+    for i in range(0, len(a), GATHERED):
+        some = slice(i, i + GATHERED)
+        size = len(a[some])
+        column = lambda x, type: pa.nulls(size, type) if x is None else pa.array(x[some], type)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, kind), pa.int32()), pa.array(a[some], pa.int64()), pa.array(b[some], pa.int64()), column(w, pa.float64() if real else pa.int64()), column(q, pa.float64()), column(gain, pa.float64())],
+            ["kind", "a", "b", "w", "q", "gain"],
+        )
+
+
 def phase(edges: DataFrame, windows: list[list[tuple[int, int]]], count: np.ndarray, k: np.ndarray, c: np.ndarray, weights: tuple, tasks: int, *, tol: float, max_iter: int, tie: str) -> DataFrame:
     """As small.phase, in rows (kind, a, b, w, q, gain): arcs between the last communities, numbered from 0, of each block; (v, c); (loop, q, gain); q before and after.
 
@@ -206,11 +218,11 @@ def phase(edges: DataFrame, windows: list[list[tuple[int, int]]], count: np.ndar
                 to = dense[v]
                 some = np.unique(to)  # in order, so that a block of few communities has few keys
                 src, dst, e = small.ties(np.repeat(np.searchsorted(some, to), m), dense[dst], without(w, ()), len(some), len(labels))
-                yield from told(ARC, some[src], dst, e)
+                yield from told(ARC, some[src], dst, e, real=real)
         if others.rank == 0:
-            yield from told(STATE, np.arange(n), c)
-            yield from told(LOOP, *(np.array([h[0] for h in history], np.int64),) * 2, q=[h[1] for h in history], gain=[h[2] for h in history])
-            yield from told(ENDS, np.zeros(1, np.int64), np.zeros(1, np.int64), q=[before], gain=[q])
+            yield from told(STATE, np.arange(n), c, real=real)
+            yield from told(LOOP, *(np.array([h[0] for h in history], np.int64),) * 2, q=[h[1] for h in history], gain=[h[2] for h in history], real=real)
+            yield from told(ENDS, np.zeros(1, np.int64), np.zeros(1, np.int64), q=[before], gain=[q], real=real)
 
     def stored(rows: Iterable[pa.RecordBatch], file) -> Iterator[tuple[int, tuple]]:
         """Each block, written, with its batch: (offset, vertices, arcs of each, places of loops); rows lie in the order of blocks."""
@@ -251,16 +263,6 @@ def phase(edges: DataFrame, windows: list[list[tuple[int, int]]], count: np.ndar
             w[loops] = 0
         return w
 
-    def told(kind: int, a: np.ndarray, b: np.ndarray, w=None, q=None, gain=None) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(a), GATHERED):
-            some = slice(i, i + GATHERED)
-            size = len(a[some])
-            column = lambda x, type: pa.nulls(size, type) if x is None else pa.array(x[some], type)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, kind), pa.int32()), pa.array(a[some], pa.int64()), pa.array(b[some], pa.int64()), column(w, pa.float64() if real else pa.int64()), column(q, pa.float64()), column(gain, pa.float64())],
-                ["kind", "a", "b", "w", "q", "gain"],
-            )
-
     dealt = edges.select("src", "dst", "w").mapInArrow(deal, "task int, at int, src binary, dst binary, w binary")
     mine = dealt.repartitionById(tasks, F.col("task")).sortWithinPartitions("at").select("at", "src", "dst", "w")
     return mine.mapInArrow(run, f"kind int, a long, b long, w {'double' if real else 'long'}, q double, gain double", barrier=True)

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..graph import Graph
+from ..graph import Graph, Shared
 from ..lineage import written as cut
 from ..operators import contract, degree, moves, partition
 from ..sources import text
-from . import held, small
+from . import held, shared, small
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,7 @@ class Louvain:
     small_arcs arcs (counted first), which one task can hold, a phase runs the same rules inside one task; with more arcs but no more than
     held_vertices vertices, whose state the driver and each task can hold, by tasks over blocks of arcs, and of whole weights as soon as each has
     held.TASK arcs.  Whole weights give the same results to the bit, real ones but for the order in which sums are rounded.  small_arcs=0 never does either.
+    A graph of common groups works without arcs (plans/shared.py), if it has no more than held_vertices vertices and held_counts pairs of a group and a member, singletons to start from and tie="min".
     """
 
     batches: int = 2
@@ -65,14 +66,19 @@ class Louvain:
     coloring: bool = False
     small_arcs: int = 4_000_000
     held_vertices: int = 2_000_000
+    held_counts: int = 12_000_000
 
-    def fit(self, graph: Graph, init: DataFrame | None = None) -> Result:
+    def fit(self, graph: Graph | Shared, init: DataFrame | None = None) -> Result:
         """Isolated vertices stay communities of their own; a graph without weight gives singletons and q null.
 
         init: (v, c), the communities that the first phase starts from, by names from 0 to n - 1; a vertex that it lacks is in that of its own number.
         """
         begun = time.time()
-        vertices, edges = cut(graph.vertices), cut(graph.edges)
+        vertices, edges, ties = cut(graph.vertices), None, None
+        if isinstance(graph, Shared):
+            ties = self._ties(graph, vertices) if init is None else None
+        if ties is None:
+            edges = cut(graph.arcs() if isinstance(graph, Shared) else graph.edges)
         places = None
         if self.coloring:
             places = cut(Graph(vertices, edges).coloring())
@@ -80,7 +86,7 @@ class Louvain:
             if init is not None:
                 at = places.select("v", "position")
                 init = init.join(at, "v").select(F.col("position").alias("v"), "c")
-        n, arcs = vertices.count(), edges.count()
+        n, arcs = vertices.count(), 0 if edges is None else edges.count()
         state = vertices.select("v", F.col("v").alias("c"))
         if init is not None:
             state = state.select("v").join(init.select("v", "c"), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
@@ -93,13 +99,16 @@ class Louvain:
         original, given = vertices, init is not None
         for phase in range(self.max_phases):
             clock = time.time()
-            mass = edges.agg(F.sum("w")).first()[0] or 0
-            short = isinstance(mass, float) or mass <= moves.LONG_MASS
-            fits = short and arcs <= self.small_arcs and n <= self.small_arcs
-            near = short and self.small_arcs and n <= self.held_vertices and held.slots(vertices.sparkSession)
-            if near and not isinstance(mass, float):  # equal results either way, sooner by several tasks
-                fits = fits and arcs <= near * held.TASK
-            state, before, q, rows, *shrunk = (self._small if fits else self._held if near else self._large)(vertices, edges, state, n, arcs, mass)
+            if ties is not None:
+                state, before, q, rows, arcs, *shrunk = self._shared(ties, state, n)
+            else:
+                mass = edges.agg(F.sum("w")).first()[0] or 0
+                short = isinstance(mass, float) or mass <= moves.LONG_MASS
+                fits = short and arcs <= self.small_arcs and n <= self.small_arcs
+                near = short and self.small_arcs and n <= self.held_vertices and held.slots(vertices.sparkSession)
+                if near and not isinstance(mass, float):  # equal results either way, sooner by several tasks
+                    fits = fits and arcs <= near * held.TASK
+                state, before, q, rows, *shrunk = (self._small if fits else self._held if near else self._large)(vertices, edges, state, n, arcs, mass)
             moved = time.time() - clock
             history += [(phase, *r, n, arcs) for r in rows]
             if q is None:
@@ -117,9 +126,12 @@ class Louvain:
                 levels.append(composed.select(F.lit(len(levels)).alias("level"), "v", "community"))
                 ended = count in (n, 1)
             if not ended:
-                edges = cut(shrunk[0] if shrunk else contract.contract(edges, state, names))
-                vertices = names.select(F.col("id").alias("v"))
-                n, arcs = count, edges.count()
+                vertices, n = names.select(F.col("id").alias("v")), count
+                if ties is not None:
+                    ties = shrunk[0]
+                else:
+                    edges = cut(shrunk[0] if shrunk else contract.contract(edges, state, names))
+                    arcs = edges.count()
                 state = vertices.select("v", F.col("v").alias("c"))
             timings.append((phase, len(rows), moved, time.time() - clock))
             if ended:
@@ -134,6 +146,33 @@ class Louvain:
         frames = (spark.createDataFrame(rows, layout) for rows, layout in ((history, schema.HISTORY), (phases, schema.PHASES), (timings, schema.TIMINGS)))
         return Result(last, hierarchy, *frames, phases[-1][2] if phases else None, time.time() - begun)
 
+    def _ties(self, graph: Shared, vertices: DataFrame) -> tuple | None:
+        """(table, rows, largest count, loops' lack) of ties that tasks can hold; None if they can't or if options need arcs."""
+        if self.tie != "min" or self.coloring or not self.small_arcs or not held.slots(vertices.sparkSession):
+            return None
+        table = cut(graph.ties)
+        one, n = F.col("n").cast("double"), vertices.count()
+        each = table.groupBy("group").agg(F.sum(one).alias("n"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.min("member").alias("lo"), F.max("member").alias("hi"))
+        told = each.agg(F.sum(F.col("n") * F.col("n")).alias("mass"), F.sum("rows").alias("rows"), F.max("most").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        if not told["rows"] or n > self.held_vertices or told["rows"] > self.held_counts or told["lo"] < 0 or told["hi"] >= n or told["mass"] >= 1 << 52:
+            return None
+        return table, told["rows"], told["most"], None
+
+    def _shared(self, ties: tuple, state: DataFrame, n: int) -> tuple[DataFrame, float | None, float | None, list, int, tuple | None]:
+        """One phase by tasks that run together and hold the counts of all vertices, without arcs; last, the number of arcs and the ties of communities."""
+        table, size, most, less = ties
+        tasks = min(held.slots(table.sparkSession), max(1, -(-size // shared.TASK)))
+        found = cut(shared.phase(table, n, most, less, tasks, batches=self.batches, tol=self.tol, max_iter=self.max_iter, devices=self.devices, by=self.partition_by))
+        kind = lambda x: found.where(F.col("kind") == x)
+        arcs = kind(shared.ARCS).first()["a"]
+        if not arcs:
+            return state, None, None, [(1, None, None, True)], 0, None
+        ends = kind(held.ENDS).first()
+        rows = [(r["a"], r["q"], r["gain"], r["gain"] >= 0) for r in kind(held.LOOP).orderBy("a").collect()]
+        counts = kind(shared.COUNT).select(F.col("a").alias("group"), F.col("b").alias("member"), F.col("w").alias("n"))
+        told, lack = counts.agg(F.count(F.lit(1)), F.max("n")).first(), kind(shared.LESS).orderBy("a").toArrow().column("b").to_numpy()
+        return kind(held.STATE).select(F.col("a").alias("v"), F.col("b").alias("c")), ends["q"], ends["gain"], rows, arcs, (counts, *told, lack)
+
     def _small(self, vertices: DataFrame, edges: DataFrame, state: DataFrame, n: int, arcs: int, mass) -> tuple[DataFrame, float | None, float | None, list]:
         """One phase inside one task; its bounded input was counted."""
         options = {"batches": self.batches, "tol": self.tol, "max_iter": self.max_iter, "tie": self.tie, "devices": self.devices, "by": self.partition_by}

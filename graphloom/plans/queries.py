@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import graph as graphs
-from ..graph import Graph
+from ..graph import Graph, Shared
 from ..lineage import cut, shared_folder
 from ..operators import coloring, contract, degree, moves, partition
 from ..sources import generate, tables, text
@@ -423,7 +423,7 @@ def louvain_hierarchy(spark, sf_dir):
 
 @register()
 def louvain_phases(spark, sf_dir):
-    return Louvain(batches=8).fit(Graph(*tables.user_hour(spark, sf_dir))).phases
+    return Louvain(batches=8).fit(Shared(*tables.users_by_hour(spark, sf_dir), lambda: tables.user_hour(spark, sf_dir)[1])).phases
 
 
 @register()

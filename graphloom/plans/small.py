@@ -93,6 +93,10 @@ def choose(v: np.ndarray, com: np.ndarray, e: np.ndarray, k: np.ndarray, a: np.n
     if not len(v):
         return v, com
     own = com == c[v]
+    whole = k.dtype.kind != "f"
+    lowest = np.iinfo(np.int64).min if whole else -np.inf
+    if whole and int(m2) * int(k.max()) >= 1 << 62:  # wider than 64 bits
+        m2, lowest, e, k, a = int(m2), -(int(m2) ** 2) - 1, *(x.astype(object) for x in (e, k, a))
     score = m2 * e - k[v] * (a[com] - np.where(own, k[v], 0))
     change = np.concatenate([[True], v[1:] != v[:-1]])
     begin, group = np.flatnonzero(change), np.cumsum(change) - 1
@@ -105,7 +109,7 @@ def choose(v: np.ndarray, com: np.ndarray, e: np.ndarray, k: np.ndarray, a: np.n
         second = ((lane % 2) * 4 + lane // 2 % 2 * 2 + lane // 4) * (len(v) + 1) + rank
     else:
         second = com
-    other = np.where(own, -np.inf if score.dtype.kind == "f" else np.iinfo(np.int64).min, score)
+    other = np.where(own, lowest, score)
     most = np.maximum.reduceat(other, begin)
     best = np.flatnonzero(~own & (other == most[group]) & (other > stay[group]))
     if not len(best):

@@ -103,6 +103,13 @@ def supp_co_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("v")), _shared(items, "l_orderkey", "l_suppkey")
 
 
+def users_by_hour(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users, and (group, member, n): the hours in which each was active, once."""
+    seen = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("hour", "ts").alias("hour")).distinct()
+    told = seen.where("user_id IS NOT NULL AND hour IS NOT NULL").select(F.unix_micros("hour").alias("group"), F.col("user_id").cast("long").alias("member"), F.lit(1).cast("long").alias("n"))
+    return seen.select(F.col("user_id").alias("v")).distinct(), told
+
+
 def user_hour(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Users tied by the hours in which both were active."""
     seen = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("hour", "ts").alias("hour")).distinct()

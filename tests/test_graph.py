@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import schema
-from graphloom.graph import Graph
+from graphloom.graph import Graph, Shared
 from graphloom.operators import coloring, contract, degree, moves, partition
-from graphloom.plans import held, small
+from graphloom.plans import held, queries, shared, small
 from graphloom.plans.louvain import Louvain
 from graphloom.sources import binary, generate, tables
 
@@ -296,3 +296,85 @@ def test_blocks_have_like_numbers_of_arcs_in_narrow_types():
     arcs = np.bincount(at, count)
     assert parts % 6 == 0 and len(arcs) == 8 * parts and arcs.max() <= held.BLOCK + 9000 and arcs.max() < 1.1 * arcs.min()
     assert all(set(at[lo:hi] // parts) == {b} for b, ranges in enumerate(windows) for lo, hi in ranges)
+
+
+def grouped(n, groups, size, top, seed=9):
+    """Counts of members by group, once a pair, and the arcs that they make."""
+    r = np.random.default_rng(seed)
+    pairs = np.unique(np.stack([r.integers(0, groups, size), r.integers(0, n - 2, size) ** 2 // (n - 2)]), axis=1)
+    table = np.zeros((n, groups), np.int64)
+    table[pairs[1], pairs[0]] = r.integers(1, top, pairs.shape[1])
+    arcs = table @ table.T
+    np.fill_diagonal(arcs, 0)
+    return pairs, table[pairs[1], pairs[0]], table, arcs
+
+
+def test_ties_by_groups_need_no_arcs(spark):
+    def refused():
+        raise AssertionError("arcs were made")
+
+    for top, options in ((2, {"batches": 8}), (4, {"batches": 3, "devices": 2, "partition_by": "vertex"}), (200_000, {"batches": 2, "max_iter": 1, "max_phases": 1})):
+        pairs, count, _, arcs = grouped(70, 12, 200, top)
+        ties = spark.createDataFrame([(int(g) - 5, int(m), int(c)) for g, m, c in zip(*pairs, count)], "group long, member long, n long")
+        src, dst = np.nonzero(arcs)
+        edges = spark.createDataFrame([tuple(map(int, x)) for x in zip(src, dst, arcs[src, dst])], schema.EDGES)
+        vertices = spark.range(70).select(F.col("id").alias("v"))
+        want, got = Louvain(**options, small_arcs=0 if top > 9 else 10**6).fit(Graph(vertices, edges)), Louvain(**options).fit(Shared(vertices, ties, refused))
+        one, other = ([sorted(map(tuple, x.collect())) for x in (f.communities, f.hierarchy, f.history, f.phases)] for f in (want, got))
+        assert one == other and one[2]
+    assert sorted(Louvain(batches=2, tie="lane").fit(Shared(vertices, ties, lambda: edges)).communities.collect()) == sorted(Louvain(batches=2, tie="lane").fit(Graph(vertices, edges)).communities.collect())
+    alone = spark.createDataFrame([(g, g, 1) for g in range(4)], "group long, member long, n long")
+    none = Louvain().fit(Shared(vertices.limit(4), alone, refused))
+    assert none.q_final is None and none.phases.collect()[0][:] == (0, 1, None, 4, 0, 4)
+    assert Louvain().fit(Shared(vertices.limit(4), alone.limit(0), lambda: edges.limit(0))).communities.count() == 4
+
+
+def test_phases_of_users_make_no_arcs(spark, monkeypatch):
+    want = Louvain(batches=8).fit(Graph(*tables.user_hour(spark, "/root/testdata/sf0.001"))).phases.collect()
+    for name in ("_shared", "_shared_blocks"):
+        monkeypatch.setattr(tables, name, None)
+    assert queries.QUERIES["louvain_phases"](spark, "/root/testdata/sf0.001").collect() == want
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])  # products of tables; sums of pairs
+@pytest.mark.parametrize("top", [2, 9, 9000])
+def test_moves_by_groups_are_those_of_arcs(monkeypatch, dense, top):
+    monkeypatch.setattr(shared, "DENSE", 0 if dense else 10**9)
+    monkeypatch.setattr(shared, "TABLE", 200)
+    monkeypatch.setattr(shared, "CELLS", 300)
+    monkeypatch.setattr(shared, "PAIRS", 100)
+    n, groups = 90, 14
+    pairs, count, table, arcs = grouped(n, groups, 300, top)
+    counts = shared.Counts(pairs[0], pairs[1], count, n)
+    loops = np.arange(n) % 3 == 0
+    for tasks in (1, 3):
+        assert (sum(shared.degrees(counts, loops, r, tasks) for r in range(tasks)) == (arcs > 0).sum(axis=1) + loops).all()
+    assert (counts.squares == (table * table).sum(axis=1)).all() and (counts.most == (table @ table.sum(axis=0))).all()
+    k, r = arcs.sum(axis=1) + loops * 7, np.random.default_rng(1)
+    m2, moved = int(k.sum()), 0
+    for communities in (1, 2, 5, 30, n):
+        c = np.arange(n) if communities == n else r.integers(0, communities, n) * 3 % n
+        a, (labels, label) = small.sizes(c, k, n), small.numbered(c, n)
+        order = np.argsort(label, kind="stable")
+        for movers in (np.arange(n), np.arange(20, 50), np.arange(0)):
+            cut = [0, len(labels) // 3, len(labels)]
+            found = [x for lo, hi in zip(cut, cut[1:]) for x in shared.near(counts, movers, order, label, lo, hi, k, a[labels], m2)]
+            v, to, e = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            order_of = np.lexsort((to, v))
+            got = small.choose(v[order_of], labels[to[order_of]], e[order_of], k, a, c, m2, "min")
+            src, dst = np.nonzero(arcs[movers])
+            row, t, e = small.ties(movers[src], label[dst], arcs[movers][src, dst], n, len(labels))
+            want = small.choose(row, labels[t], e, k, a, c, m2, "min")
+            assert [x.tolist() for x in got] == [x.tolist() for x in want]
+            moved += len(want[0])
+    assert moved > 100
+
+
+def test_scores_wider_than_64_bits():
+    r = np.random.default_rng(8)
+    n = 40
+    c, k = r.integers(0, 9, n), r.integers(1, 50, n)
+    row, com, e = small.ties(r.integers(0, n, 200), c[r.integers(0, n, 200)], r.integers(1, 5, 200), n, n)
+    for tie in ("min", "lane"):
+        want, got = (small.choose(row, com, e << by, k << by, small.sizes(c, k << by, n), c, int(k.sum()) << by, tie) for by in (0, 36))
+        assert len(want[0]) and [x.tolist() for x in got] == [x.tolist() for x in want]
